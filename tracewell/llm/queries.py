@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -28,7 +34,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_sharding, op6_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_sharding, op6_quality_rules, op9_mixing)}
 
 
 def oracle_sql() -> dict:
