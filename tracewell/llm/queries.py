@@ -26,6 +26,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import by_first_position, mix
 
@@ -34,7 +40,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op4_sharding, op6_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_sharding, op6_quality_rules, op7_quality_classifier, op9_mixing)}
 
 
 def oracle_sql() -> dict:

@@ -83,3 +83,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes = current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return nodes.union(roots)
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast only if its counted rows, of about row_bytes each, are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_LIMIT_BYTES else df
