@@ -14,6 +14,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -40,7 +46,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op4_sharding, op6_quality_rules, op7_quality_classifier, op9_mixing)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op9_mixing)}
 
 
 def oracle_sql() -> dict:
