@@ -38,6 +38,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import linked_vectors
+
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import by_first_position, mix
 
@@ -46,7 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op9_mixing)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict:
