@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -35,6 +35,8 @@ OVERLAP_FRAGMENTS = 4
 FRAGMENT_SHINGLES = 2_000_000
 #: Most frequent shingles that are known as such; others keep their hash order, results don't depend on it.
 FREQUENT_LIMIT = 200_000
+#: Percent of the shorter prefix that a pair of the first round shares; others are left to the second.
+STAR_PERCENT = 40
 #: Partners of a document that are compared in one group; more are split over several.
 GROUP_PARTNERS = 2_000
 
@@ -95,8 +97,13 @@ def prefix_length(n: int) -> int:
     return n - (SIMILAR_PERCENT * n + 99) // 100 + 1
 
 
+def prefix_size(n: str) -> Column:
+    """prefix_length() of a column."""
+    return F.col(n) - F.floor((SIMILAR_PERCENT * F.col(n) + 99) / 100) + 1
+
+
 def prefix_fragments(sets: DataFrame, fragments: int) -> DataFrame:
-    """(fragment, docs, sizes, rests, tokens): packed prefix shingles by range of the hash."""
+    """(fragment, docs, sizes, tokens): packed prefix shingles by range of the hash."""
     spark = sets.sparkSession
     frequent = frequent_shingles(sets)
     by_value = np.argsort(frequent, kind="stable")
@@ -105,7 +112,7 @@ def prefix_fragments(sets: DataFrame, fragments: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
         for batch in batches:
-            docs, sizes, rests, tokens = [], [], [], []
+            docs, sizes, tokens = [], [], []
             for doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not n or doc is None:
                     continue
@@ -120,32 +127,28 @@ def prefix_fragments(sets: DataFrame, fragments: int) -> DataFrame:
                 tokens.append(s)
                 docs.append(np.full(len(s), doc, np.int64))
                 sizes.append(np.full(len(s), n, np.int32))
-                rests.append(np.arange(n, n - len(s), -1, dtype=np.int32))
             if not tokens:
                 continue
-            t, d, z, r = map(np.concatenate, (tokens, docs, sizes, rests))
+            t, d, z = map(np.concatenate, (tokens, docs, sizes))
             # Stored shingles are evenly spread, so fragments are ranges of their mixed values.
             f = (tb.mixed(t) % tb.U64(fragments)).astype(np.int32)
             order = np.argsort(f, kind="stable")
-            f, t, d, z, r = f[order], t[order], d[order], z[order], r[order]
+            f, t, d, z = f[order], t[order], d[order], z[order]
             edges = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
             ends = np.r_[edges[1:], len(f)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(f[edges]),
-                    *(pa.array([x[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()) for x in (d, z, r, t)),
+                    *(pa.array([x[a:b].tobytes() for a, b in zip(edges, ends, strict=True)], pa.binary()) for x in (d, z, t)),
                 ],
-                ["fragment", "docs", "sizes", "rests", "tokens"],
+                ["fragment", "docs", "sizes", "tokens"],
             )
 
-    return sets.select("doc_id", "n", "shingles").mapInArrow(cut, "fragment int, docs binary, sizes binary, rests binary, tokens binary")
+    return sets.select("doc_id", "n", "shingles").mapInArrow(cut, "fragment int, docs binary, sizes binary, tokens binary")
 
 
 def posting_lists(sets: DataFrame, fragments: int) -> DataFrame:
-    """(token, doc, n, rest, least): prefix shingles of two documents or more, with the list's least document.
-
-    rest is the number of the document's shingles from this one on in the global order.
-    """
+    """(token, doc, n, least): prefix shingles of two documents or more, with the list's least document."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -154,9 +157,9 @@ def posting_lists(sets: DataFrame, fragments: int) -> DataFrame:
                 held.setdefault(f, []).append(parts)
         for f in list(held):
             parts = held.pop(f)
-            d, z, r, t = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate((np.int64, np.int32, np.int32, np.uint64)))
+            d, z, t = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate((np.int64, np.int32, np.uint64)))
             order = np.lexsort((d, t))
-            d, z, r, t = d[order], z[order], r[order], t[order]
+            d, z, t = d[order], z[order], t[order]
             begin = np.r_[True, t[1:] != t[:-1]] if len(t) else np.zeros(0, bool)
             group = np.cumsum(begin) - 1
             many = np.bincount(group)[group] > 1 if len(t) else begin
@@ -164,11 +167,11 @@ def posting_lists(sets: DataFrame, fragments: int) -> DataFrame:
             for a in range(0, int(many.sum()), 100_000):
                 pick = np.flatnonzero(many)[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t[pick].astype(np.int64)), pa.array(d[pick]), pa.array(z[pick]), pa.array(r[pick]), pa.array(least[pick])], ["token", "doc", "n", "rest", "least"]
+                    [pa.array(t[pick].astype(np.int64)), pa.array(d[pick]), pa.array(z[pick]), pa.array(least[pick])], ["token", "doc", "n", "least"]
                 )
 
     cut = prefix_fragments(sets, fragments).repartition(fragments, "fragment")
-    return cut.mapInArrow(lists, "token long, doc long, n int, rest int, least long")
+    return cut.mapInArrow(lists, "token long, doc long, n int, least long")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -247,19 +250,24 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     chosen = sets.where("n > 0 and doc_id is not null").join(extra, "doc_id", "left_anti")
     fragments = max(spark.sparkContext.defaultParallelism * 2, -(-int(total) // (5 * FRAGMENT_SHINGLES)))
     lists = materialize(posting_lists(chosen, fragments), "ngram-lists")
-    one = lists.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb"))
     sizes = lists.where("doc = least").select(F.col("doc").alias("a"), F.col("n").alias("na")).distinct()
-    links = materialize(verified(one.distinct().join(sizes, "a").select("a", "b", "na", "nb"), sets), "ngram-links")
+    star = lists.where("doc <> least").groupBy(F.col("least").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("shared"))
+    # Stars only have to bring most groups together, so they are tried where a link is likely.
+    likely = F.col("shared") * 100 >= STAR_PERCENT * F.least(prefix_size("na"), prefix_size("nb"))
+    links = materialize(verified(star.join(sizes, "a").where(likely).select("a", "b", "na", "nb"), sets), "ngram-links")
     parts = materialize(connected_components(links), "ngram-parts")
-    known = lists.join(parts, lists["doc"] == parts["node"], "left").select("token", "doc", "n", "rest", F.coalesce("component", "doc").alias("part"))
+    known = lists.join(parts, lists["doc"] == parts["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
     mixed_lists = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     open_lists = materialize(known.join(mixed_lists, "token"), "ngram-open")
-    x = open_lists.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("part").alias("pa"))
-    y = open_lists.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("part").alias("pb"))
-    # At a pair's first shared shingle the rest of both sets bounds its overlap.
-    bound = (100 + SIMILAR_PERCENT) * F.least("ra", "rb") >= SIMILAR_PERCENT * (F.col("na") + F.col("nb"))
+    x = open_lists.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    y = open_lists.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
     size_fits = 100 * F.least("na", "nb") >= SIMILAR_PERCENT * F.greatest("na", "nb")
-    across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & bound & size_fits).select("a", "b", "na", "nb")
+    across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & size_fits)
+    # Of the set whose prefix ends first, every shared prefix shingle is in the other's prefix too, so
+    # what both prefixes share and the rest of that set bound the overlap.
+    shared = across.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    most = F.greatest(F.col("na") - prefix_size("na"), F.col("nb") - prefix_size("nb")) + F.col("shared")
+    across = shared.where((100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     more = materialize(verified(across, sets), "ngram-more")
     edges = links.union(more).union(copies.where("doc_id <> chosen").select("chosen", "doc_id"))
     final = connected_components(edges)
