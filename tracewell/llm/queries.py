@@ -51,8 +51,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict:
