@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def tokenizer_file(spark: SparkSession, name: str) -> str:
+    """A public tokenizer's path: below spark.tracewell.tokenizers if that is set, else where the package has it."""
+    folder = spark.conf.get("spark.tracewell.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest
+
+    return digest(table(spark, sf_dir, "documents"), tokenizer_file(spark, "piece_bpe_32k.model"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_documents
 
@@ -58,7 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict:
