@@ -42,6 +42,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import digest
+
+    return digest(table(spark, sf_dir, "documents"), tokenizer_file(spark, "word_bpe_49k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -74,7 +80,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_suffix_dedup, op4_sharding, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_suffix_dedup, op4_sharding, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict:
