@@ -1,0 +1,4 @@
+"""Registered queries: QUERIES by name, and SQL for those that SQL can express."""
+
+from . import document_queries, session_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
