@@ -11,6 +11,7 @@ from a word's end gives the word's pieces.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -22,7 +23,9 @@ from pyspark.sql.types import StructType
 
 MARK = "▁"
 #: Distinct words whose ids a task keeps; beyond it they are forgotten and encoded anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+#: Texts that are split into words at a time.
+SLICE_DOCS = 1_024
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -39,7 +42,8 @@ class Pieces:
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.ends = {p[k:] for p in self.ids for k in range(len(p))}
+        #: Ends of pieces: True if a piece itself.
+        self.kinds = {p[k:]: False for p in self.ids for k in range(len(p))} | dict.fromkeys(self.ids, True)
         self.raw = [b""] * n
         for i in plain:
             self.raw[i] = self.text[i].replace(MARK, " ").encode()
@@ -79,37 +83,43 @@ class Pieces:
         return b"".join([get(p) or b"".join(unknown[b] for b in p.encode()) for p in parts])
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Packed ids of distinct words, in one depth-first walk over their trie."""
+        """Packed ids of distinct words, in one depth-first walk over their trie.
+
+        The walk keeps, for each prefix of the word at hand, its last piece and its packed ids; words
+        that share a prefix share them.
+        """
         found: dict[str, bytes] = {}
-        last, before = [""], ""
-        ids, ends, beside = self.ids, self.ends, self.beside
+        last, ids, before = [""], [b""], ""
+        kinds, known, packed_ids = self.kinds, self._beside, self.packed_ids
         for word in sorted(words):
             if word.startswith(MARK + MARK):
                 found[word] = self.packed(self.merged(word))  # runs of marks have pieces of equal score
                 continue
             n, k = len(word), 0
-            most = min(n, len(before))
-            while k < most and word[k] == before[k]:
+            for x, y in zip(word, before):
+                if x != y:
+                    break
                 k += 1
-            del last[k + 1 :]
+            del last[k + 1 :], ids[k + 1 :]
             for i in range(k + 1, n + 1):
                 piece = word[i - 1]
-                if piece in ends:
-                    for j in range(i - 1, -1, -1):
-                        p = word[j:i]
-                        if p not in ends:
-                            break
-                        if p in ids and beside(last[j], p):
+                for j in range(i - 1, -1, -1):
+                    p = word[j:i]
+                    kind = kinds.get(p)
+                    if kind is None:
+                        break
+                    if kind:
+                        left = last[j]
+                        stays = known.get((left, p))
+                        if stays is None:
+                            stays = self.beside(left, p)
+                        if stays:
                             piece = p
                             break
                 last.append(piece)
+                ids.append(ids[i - len(piece)] + (packed_ids.get(piece) or self.packed((piece,))))
             before = word
-            parts, i = [], n
-            while i:
-                parts.append(last[i])
-                i -= len(last[i])
-            parts.reverse()
-            found[word] = self.packed(parts)
+            found[word] = ids[n]
         return found
 
 
@@ -158,31 +168,36 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     names, schema = docs.columns, StructType([*docs.schema.fields]).add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or _encoder(model_file)
-            column = batch.column("text")
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = encoder(column.slice(lo, 512).to_pylist())
+            encoder, column = _encoder(model_file), batch.column("text")
+            for lo in range(0, batch.num_rows, SLICE_DOCS):
+                part = batch.slice(lo, SLICE_DOCS)
+                ids = encoder(column.slice(lo, SLICE_DOCS).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in range(len(names))), pa.array(ids, pa.binary())], [*names, "ids"])
 
     return docs.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=1)
+def _decoder(model_file: str) -> Callable[[bytes], str]:
+    """A decoder of packed ids, one for all tasks of a Python worker."""
+    raw = Pieces(model_file).raw
+
+    def decode_one(ids: bytes) -> str:
+        return b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").removeprefix(" ")
+
+    return decode_one
+
+
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """encoded, all rows and columns, with decoded: the text its ids stand for."""
     encoded = encoded.drop("decoded")
     names, schema = encoded.columns, StructType([*encoded.schema.fields]).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = None
         for batch in batches:
-            raw = raw or Pieces(model_file).raw
-            texts = []
-            for ids in batch.column("ids").to_pylist():
-                text = b"".join(map(raw.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())).decode("utf-8", "replace")
-                texts.append(text.removeprefix(" "))
+            decoder = _decoder(model_file)
+            texts = [decoder(ids or b"") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
@@ -191,11 +206,23 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, round_trip) of each row: its ids and whether they decode to its text.
 
-    A null text has no ids and decodes to the empty text.  A mark character in a text decodes to a
-    space, as the model has it; such a text round-trips if it does apart from that.
+    The same encoder and decoder as encode() and decode(), one after the other in a task, so that
+    neither ids nor decoded texts leave it.  A null text has no ids and decodes to the empty text.  A
+    mark character in a text decodes to a space, as the model has it; such a text round-trips if it
+    does apart from that.
     """
-    whole = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_file), model_file)
-    return whole.select(
-        "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
-        (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            encoder, decoder = _encoder(model_file), _decoder(model_file)
+            for lo in range(0, batch.num_rows, SLICE_DOCS):
+                part = batch.slice(lo, SLICE_DOCS)
+                texts = part.column(1).to_pylist()
+                ids = encoder(texts)
+                same = [decoder(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())],
+                    ["doc_id", "n_tokens", "ids_crc32", "round_trip"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
