@@ -20,7 +20,7 @@ MOST_REPEATS = 2
 #: Start and end factor of a source's schedule, in turn by source order.
 SCHEDULES = ((1.0, 1.0), (0.5, 1.5), (1.5, 0.5))
 #: Rows of a prefix-sum bucket, on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:
