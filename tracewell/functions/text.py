@@ -29,7 +29,7 @@ def content_text(content: Column) -> Column:
     """A message's text: a string as it is, of an array every non-empty text field, joined by line ends."""
     items = F.from_json(content, "array<struct<text:string,input_text:string,output_text:string>>")
     texts = F.flatten(F.transform(items, lambda x: F.filter(F.array(x["text"], x["input_text"], x["output_text"]), lambda t: F.coalesce(t, F.lit("")) != "")))
-    return F.when(F.ltrim(content).startswith("["), F.array_join(texts, "\n")).otherwise(content)
+    return F.when(F.ltrim(content).startswith("[") & items.isNotNull(), F.array_join(texts, "\n")).otherwise(content)
 
 
 def clean_prompt(text: Column) -> Column:
