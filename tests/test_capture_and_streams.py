@@ -1,0 +1,150 @@
+"""Redaction, consent, verdicts, tasks, sinks and streams on small made-up rows."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values()) or (0,)], list(values) or ["_"])
+    return row.select(column.alias("x")).first().x
+
+
+SAMPLES = {
+    "secret.private_key": "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "secret.aws": "AKIA" + "ABCDEFGH12345678", "secret.stripe": "sk_live_" + "a1" * 10, "secret.github": "ghp_" + "x" * 20,
+    "secret.npm": "npm_" + "y" * 20, "secret.twilio": "SK" + "0a" * 16, "secret.jwt": "eyJabc.def.ghi", "secret.connection": "postgres://me:pw@host/db", "secret.bearer": "Authorization: Bearer abcdefgh12",
+    "secret.env": "MY_TOKEN=abc", "secret.keyword": "password: hunter2", "pii.email": "a.b@c.org", "pii.ip": "10.1.2.3", "pii.phone": "415-555-0100", "pii.name": "Jane Doe", "secret.slack": "xoxb-1234567890ab",
+}
+
+
+def test_redaction(spark):
+    from tracewell.functions.redact import leak_normal, merge_reports, scrub
+
+    rows = [(k, f"x {v} y") for k, v in SAMPLES.items()] + [("none", "Go Build MONKEY=banana"), ("null", None), ("two", "1.2.3.4 and 5.6.7.8"), ("uuid", "123e4567-e89b-12d3-a456-426614174000"), ("entropy", "é aZ3kQ9xT7bL2mN8p é")]
+    found = {r.k: r for r in scrub(spark.createDataFrame(rows, "k string, text string")).collect()}
+    for k in SAMPLES:
+        assert found[k].redactions.by_category == {k: 1} and found[k].text == f"x [REDACTED:{k}] y", k
+    assert found["none"].redactions.spans == 0 and found["null"].text is None and found["two"].redactions.by_category == {"pii.ip": 2}
+    assert found["uuid"].redactions.spans == 0 and found["entropy"].redactions.by_category == {"secret.entropy": 1}
+    merged = merge_reports(scrub(spark.createDataFrame(rows, "k string, text string")).withColumn("all", F.lit(1)), ["all"]).first()
+    assert merged.spans == len(SAMPLES) + 3 and merged.by_category["pii.ip"] == 3
+    assert one(spark, leak_normal(F.lit("A-b_c.D/e:f=g+'h\"`\t"))) == "abcdefgh"
+
+
+def test_consent(spark):
+    from tracewell.functions import consent as c
+
+    tiers = [*c.TIERS, "x", None]
+    rows = spark.createDataFrame([(t, ["p1", "p2"], "say", "diff", "sid", "hash") for t in tiers], "tier string, prompts array<string>, assistant_text string, patch string, session_id string, text_hash string")
+    out = [(r.tier, r.prompts, r.assistant_text, r.patch, r.session_id, r.text_hash) for r in c.project(rows).collect()]
+    assert [o[1] for o in out] == [["", ""]] + [["p1", "p2"]] * 4 + [["", ""]] * 2
+    assert [o[2:5] for o in out] == [("", "", "")] * 2 + [("say", "", ""), ("say", "diff", ""), ("say", "diff", "sid")] + [("", "", "")] * 2 and all(o[5] == "hash" for o in out)
+    assert one(spark, c.effective(F.lit("actions"), F.lit("prompts"), F.lit(""), F.lit("full"))) == "actions" and one(spark, c.required_tier(F.lit("tool_calls"))) == "actions"
+
+
+def test_verdicts(spark):
+    from tracewell.functions import verdict as v
+
+    good = 'Sure:\n```json\n{"title":" T ","outcome":"Corrected","corrections":2,"sentiment":-3}\n```'
+    rows = spark.createDataFrame([(1, good), (2, "no json"), (3, '{"outcome":"odd"}'), (4, '{"outcome":"accepted","task_type":"noise"}'), (5, '{"outcome":"accepted","task_type":"x"}')], "k int, raw string")
+    out = {r.k: r.v for r in rows.select("k", v.parse(F.col("raw")).alias("v")).collect()}
+    assert (out[1].title, out[1].outcome, out[1].score, out[1].label, out[1].task_type) == ("T", "corrected", 34.0, "corrected · 2 correction(s) · sentiment -1.0", "swe")
+    assert [out[k].error for k in range(1, 6)] == [None, "decode verdict", "invalid outcome", None, "invalid task_type"]
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.lit("u" * 2000).alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("a").alias("text")))
+    asked = one(spark, v.prompt("Judge.", turns, F.array(F.lit("s1"))))
+    assert asked.startswith("Judge.\n\nNote: the developer invoked skill(s): s1.") and asked.endswith("developer: " + "u" * 1500 + "\n\nassistant: a")
+
+
+def test_tasks(spark, tmp_path):
+    from tracewell.operators import capture as c
+    from tracewell.sources import sinks
+
+    facts = spark.createDataFrame(
+        [("f", 0, 0, "user", None, None, "mail a.b@c.org"), ("f", 1, 0, "call", "i", "Bash", "{}"), ("f", 2, 0, "result", "i", None, "out"), ("f", 3, 0, "user", None, None, "again"), ("f", 4, 0, "user", None, None, "  ")],
+        "path string, offset long, place int, kind string, id string, name string, body string",
+    )
+    r = c.texts_by_kind(facts).first()
+    assert [(p.turn_index, p.text) for p in r.prompts] == [(0, "mail a.b@c.org"), (1, "again")] and r.tools == ["Bash"] and r.tool_outputs[0].turn_index == 0
+    s = c.scrubbed_texts(facts, b"0123456789abcdef").orderBy("offset").first()
+    assert s.body == "mail [REDACTED:pii.email]" and s.text_hash.startswith("sha256:")
+    tasks = spark.createDataFrame(
+        [("https://github.com/a/b", "c1", ["do"], "+x", "", "MIT", False, 0, False), ("https://github.com/a/b", "c1", ["do"], "+x", "", "GPL-3.0", False, 0, False), ("", "", [], "", "", "", False, 0, True)],
+        "remote_url string, base_commit string, prompts array<string>, patch string, test_patch string, licence string, base_from_start boolean, files_touched int, agreed boolean",
+    )
+    out = c.publishable(tasks).collect()
+    assert [(x.publish, len(x.problems)) for x in out] == [(True, 0), (False, 0), (False, 6)]
+    sinks.write_tasks(c.publishable(tasks), str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t")).count() == 3
+    added = spark.createDataFrame([(1, "b/x.py", 5, "one"), (1, "b/x.py", 2, "zero"), (1, "tests/t.py", 1, "t")], "k int, path string, at int, line string")
+    p = c.patches(added, ["k"]).first()
+    assert p.patch == "+++ b/b/x.py\n+zero\n+one\n" and p.test_patch == "+++ b/tests/t.py\n+t\n"
+    files = spark.createDataFrame([("r", f"p{i:02d}", i // 2, i) for i in range(25)], "repository string, path string, changed_at int, number int")
+    assert c.newest_transcript(files).first().path == "p24" and c.upload_batches(files).agg(F.max("batch")).first()[0] == 2
+    assert sorted(x.number for x in c.chosen(files, "1, 3-5").collect()) == [1, 3, 4, 5] and c.chosen(files, "all").count() == 25 and c.chosen(files, "q").count() == 0
+    with pytest.raises(ValueError):
+        c.chosen(files, "5-3")
+    assert one(spark, c.score_bar(F.lit(74.9))) == "█" * 7 + "░" * 3
+    first, again = (spark.createDataFrame([("../s 1", n)], "session_id string, n int") for n in (1, 2))
+    sinks.write_snapshots(first, str(tmp_path / "s"))
+    sinks.write_snapshots(again, str(tmp_path / "s"))
+    assert [(x.n, x.session) for x in spark.read.json(str(tmp_path / "s")).collect()] == [(2, "___s_1")]
+
+
+def test_paths_and_remotes(spark):
+    from tracewell.functions import classify as c
+
+    rows = spark.createDataFrame([("",), ("/a",), ("a/../../b",), ("a/../go.sum",), ("x/Dockerfile",), ("a\\tests\\b.go",), ("src/m.go",), ("m_test.go",), (".circleci/x",), ("..",), ("./a/..",)], "p string")
+    assert [r.x for r in rows.select(c.file_role(F.col("p")).alias("x")).collect()] == ["unknown", "unknown", "unknown", "lockfile", "config", "test", "solution", "test", "config", "unknown", "unknown"]
+    remotes = spark.createDataFrame([("git@github.com:a/b.git",), ("https://u@gitlab.com:8/x/y",), ("codeberg.org/q",), ("https://github.com/corp/x",), ("",)], "r string")
+    assert [(r.h, r.p, r.n) for r in remotes.select(c.remote_host(F.col("r")).alias("h"), c.is_public_remote(F.col("r")).alias("p"), c.public_repo_name(F.col("r")).alias("n")).collect()] == [
+        ("github.com", True, "a/b"), ("gitlab.com", True, "https://u@gitlab.com:8/x/y"), ("codeberg.org", True, "q"), ("github.com", False, "corp/x"), ("", False, "")
+    ]
+    said = spark.createDataFrame([("exit code 1",), ("exit code 0\nFAILED",), ("FAIL\n",), ("all fine",), ("3 failures",)], "t string")
+    assert [r.x for r in said.select(c.output_failed(F.col("t")).alias("x")).collect()] == [True, False, True, False, True]
+
+
+def test_tail_source(spark, tmp_path):
+    from tracewell.streaming.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    folder, mark = tmp_path / "in", str(tmp_path / "mark")
+    folder.mkdir()
+    (folder / "a.jsonl").write_text('{"a":1}\n{"b"')
+    (folder / "skip.txt").write_text("x\n")
+
+    def run():
+        q = spark.readStream.format("session_tail").load(str(folder)).writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(60)
+        return sorted((r.offset, r.line) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [(0, '{"a":1}')]
+    with open(folder / "a.jsonl", "a") as f:
+        f.write(":2}\n")
+    assert run() == [(0, '{"a":1}'), (8, '{"b":2}')]
+
+
+def test_submissions_and_limits(spark, tmp_path):
+    from tracewell.streaming.flows import accept_into, limited, submissions
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table, bad = str(tmp_path / "table"), str(tmp_path / "bad")
+
+    def run(name, rows):
+        (folder / name).write_text("".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in rows))
+        q = submissions(spark, str(folder)).writeStream.foreachBatch(accept_into(table, bad)).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        return sorted(r.task_id for r in spark.read.parquet(table).collect())
+
+    row = lambda t, p: {"task_id": t, "payload": p, "contributor": "c", "received_at": "2026-01-01T00:00:00Z"}
+    assert run("1.json", [row("a", "x"), row("b", "x"), row("c", "y"), "{broken"]) == ["a", "c"]
+    assert run("2.json", [row("d", "x"), row("e", "z")]) == ["a", "c", "e"] and spark.read.parquet(bad).count() == 1
+
+    (tmp_path / "r").mkdir()
+    times = [0, 1, 2, 59, 60, 61, 62, 200]
+    (tmp_path / "r" / "1.json").write_text("".join(json.dumps({"client": "k", "at": f"2026-01-01T00:{t // 60:02d}:{t % 60:02d}Z"}) + "\n" for t in times))
+    stream = spark.readStream.schema("client string, at timestamp").json(str(tmp_path / "r"))
+    q = limited(stream, 2, 60).writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [r.allowed for r in spark.sql("select * from limits order by at").collect()] == [True, True, False, False, True, True, False, True]
