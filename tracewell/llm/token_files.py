@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import scratch_dir, sized
 
 #: Ids of a block, on average, its lanes, and the least ids of a lane.
-BLOCK_IDS = 1 << 18
-LANES = 2_048
+BLOCK_IDS = 1 << 19
+LANES = 4_096
 LANE_IDS = 64
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps; beyond it they are forgotten.
@@ -51,7 +51,7 @@ class Encoder:
 
     def code(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: int) -> None:
         low, rng = self.low[lanes], self.range[lanes]
-        rng = rng // U64(total)
+        rng = rng >> U64(12) if total == 4096 else rng // U64(total)
         low = low + start.astype(U64) * rng
         rng = rng * size.astype(U64)
         at = np.arange(len(low)) if isinstance(lanes, slice) else lanes
@@ -93,12 +93,12 @@ class Decoder:
             self.at += 1
 
     def point(self, lanes: np.ndarray | slice, total: int) -> np.ndarray:
-        rng = self.range[lanes] // U64(total)
+        rng = self.range[lanes] >> U64(12) if total == 4096 else self.range[lanes] // U64(total)
         return np.minimum((self.code[lanes] - self.low[lanes]) // rng, U64(total - 1)).astype(np.int64)
 
     def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: int) -> None:
         low, rng, code = self.low[lanes], self.range[lanes], self.code[lanes]
-        rng = rng // U64(total)
+        rng = rng >> U64(12) if total == 4096 else rng // U64(total)
         low = low + start.astype(U64) * rng
         rng = rng * size.astype(U64)
         at = np.arange(len(low)) if isinstance(lanes, slice) else lanes
@@ -239,11 +239,16 @@ def decompress(data: bytes, n: int) -> np.ndarray:
     return table.T.reshape(-1)[:n]
 
 
+#: Punctuation that never is part of a contraction or a special token.
+_TAIL = ".,;:!?#*$%&)]}"
+
+
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> Callable[[list], list[bytes]]:
     """An encoder of lists of texts to packed ids; words between spaces and line ends are encoded once.
 
-    The tokenizer's words never cross white space, so a text's ids are its words' ids in turn.
+    The tokenizer's words never cross white space, so a text's ids are its words' ids in turn; and a
+    run of punctuation after a letter or digit is a word of its own, so it is cut off first.
     """
     import os
 
@@ -252,15 +257,30 @@ def _tokenizer(path: str) -> Callable[[list], list[bytes]]:
 
     model, cache = Tokenizer.from_file(path), {}
 
+    def plain(text: str) -> str:
+        # The tokenizer lowers all letters; ASCII ones are lowered here, unless that could make a special token.
+        if "<|" not in text:
+            text = text.encode("utf-8").lower().decode("utf-8")
+        return text.replace("\n", " ")
+
+    def parts(word: str) -> tuple[str, str]:
+        stem = word.rstrip(_TAIL)
+        return (stem, word[len(stem) :]) if stem and stem[-1].isalnum() else (word, "")
+
     def encode(texts: list) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [plain(t).split(" ") if t else [] for t in texts]
         new = {w for words in split for w in words}.difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
             new = {w for words in split for w in words}
-        new = list(new)
-        for w, e in zip(new, model.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        cut = {w: parts(w) for w in new}
+        need = list({p for pair in cut.values() for p in pair if p and p not in cache})
+        for w, e in zip(need, model.encode_batch_fast(need, add_special_tokens=False), strict=True):
             cache[w] = np.array(e.ids, "<u4").tobytes()
+        cache[""] = b""
+        for w, (stem, tail) in cut.items():
+            if tail:
+                cache[w] = cache[stem] + cache[tail]
         get = cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
