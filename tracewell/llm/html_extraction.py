@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 #: Element names by their part in a page.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -264,4 +266,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     types = dict(pages.dtypes)
     schema = f"page_id {types['page_id']}, url {types['url']}, text string"
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import BROADCAST_LIMIT_BYTES, connected_components, materialize
+from .shared import BROADCAST_LIMIT_BYTES, connected_components, materialize, small_batches
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -35,6 +35,8 @@ OVERLAP_FRAGMENTS = 4
 FRAGMENT_SHINGLES = 2_000_000
 #: Most frequent shingles that are known as such; others keep their hash order, results don't depend on it.
 FREQUENT_LIMIT = 200_000
+#: Shingles that are counted together on the way to the frequent ones.
+COUNTED_SHINGLES = 2_000_000
 #: Percent of the shorter prefix that a pair of the first round shares; others are left to the second.
 STAR_PERCENT = 40
 #: Partners of a document that are compared in one group; more are split over several.
@@ -70,22 +72,33 @@ def shingle_table(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                     ["doc_id", "n", "key_a", "key_b", "shingles"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n long, key_a long, key_b long, shingles binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n long, key_a long, key_b long, shingles binary")
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
     """The shingles known to be frequent, from least to most; FREQUENT_LIMIT of them at most.
 
-    Each task reports shingles that a batch of sets holds three times; reports are summed.
+    A task reports shingles that COUNTED_SHINGLES of them hold three times; reports are summed.
     This only steers the global order, which may be any order without changing a result.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [unpack(x) for x in batch.column(0).to_pylist()]
-            found, times = np.unique(np.concatenate(data), return_counts=True) if data else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held, total = [], 0
+
+        def report() -> pa.RecordBatch:
+            found, times = np.unique(unpack(b"".join(held)), return_counts=True)
             often = times >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(found[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], ["shingle", "times"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                held.append(x.as_py())
+                total += len(held[-1])
+                if total > COUNTED_SHINGLES * WIDTH:
+                    yield report()
+                    held, total = [], 0
+        if held:
+            yield report()
 
     seen = sets.select("shingles").mapInArrow(counts, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     top = seen.where("times >= 32").orderBy(F.desc("times"), "shingle").limit(FREQUENT_LIMIT).toArrow()

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import small_batches
+
 MARK = "▁"
 #: Distinct words whose ids a task keeps; beyond it they are forgotten and encoded anew.
 CACHE_WORDS = 400_000
@@ -164,7 +166,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     Null and empty texts have no ids.  The model file has to be readable at that path on executors.
     """
-    docs = docs.drop("ids")
+    docs = small_batches(docs).drop("ids")
     names, schema = docs.columns, StructType([*docs.schema.fields]).add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,4 +227,4 @@ def digest(docs: DataFrame, model_file: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_crc32", "round_trip"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import materialize
+from .shared import materialize, small_batches
 
 FEATURES = 192
 RIDGE = 1e-2
@@ -97,7 +97,7 @@ def statistics_table(docs: DataFrame) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, x array<float>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, x array<float>")
 
 
 @dataclass

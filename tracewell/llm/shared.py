@@ -41,6 +41,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to a Python worker at a time; texts may be long, and both sides hold a batch.
+ARROW_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand Python workers at most ARROW_ROWS rows at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name, "10000")) > ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is its least node.
 

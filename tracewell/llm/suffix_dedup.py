@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import materialize
+from .shared import materialize, small_batches
 
 LENGTH = 200
 #: Bytes of a trigger; a window holds LENGTH - GRAM + 1 of them.
@@ -246,7 +246,7 @@ def window_marks(docs: DataFrame, text_bytes: int) -> DataFrame:
 
 def marked_documents(docs: DataFrame) -> DataFrame:
     """docs with _first and _last, the ranges of its windows that start elsewhere too (null: none)."""
-    docs = with_key(docs)
+    docs = with_key(small_batches(docs))
     text_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     marks = window_marks(docs, text_bytes).groupBy(F.col("key").alias("_mark_key")).agg(F.collect_list(F.struct("first", "last")).alias("_marks"))
     marks = materialize(marks, "suffix-marks")

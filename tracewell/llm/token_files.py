@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch_dir, sized
+from .shared import scratch_dir, sized, small_batches
 
 #: Ids of a block, on average, its lanes, and the least ids of a lane.
 BLOCK_IDS = 1 << 19
@@ -298,7 +298,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     spark = docs.sparkSession
     text_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     files = max(spark.sparkContext.defaultParallelism * 2, -(-text_bytes // FILE_TEXT_BYTES))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = small_batches(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered = ordered.withColumn("part", F.spark_partition_id())
     end = END_ID.to_bytes(4, "little")
 
