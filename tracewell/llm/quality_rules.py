@@ -101,7 +101,7 @@ def js_distance(p: Column, q: Column) -> Column:
     tp, tq = F.nullif(total(p), F.lit(0.0)), F.nullif(total(q), F.lit(0.0))
     parts = F.zip_with(p, q, lambda x, y: F.struct((x / tp).alias("a"), (y / tq).alias("b")))
     terms = F.transform(parts, lambda s: term(s["a"], (s["a"] + s["b"]) / 2) + term(s["b"], (s["a"] + s["b"]) / 2))
-    return F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))
+    return F.when(tp.isNotNull() & tq.isNotNull(), F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0))))
 
 
 def with_rest(seen: Column, n_words: Column) -> Column:
