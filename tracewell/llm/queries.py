@@ -51,7 +51,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    from .oracles import SQL
+
+    return dict(SQL)
