@@ -49,6 +49,10 @@ def test_layouts():
     assert main_text(page) == "\n".join(["Head & title", one, "Short.", one, "An item", "Another"])
     bare = f"<div class='nav'><a href=a>Home</a> <a href=b>News</a></div><div><h1>Title of it all</h1><p>{long}</p><p>Yes.</p><p>{long}</p></div><div><a href=c>Imprint</a></div>"
     assert main_text(bare) == "\n".join(["Title of it all", one, "Yes.", one])
+    outside = f"<p>We use cookies. {long}</p><article><header class='entry-header'><h1>T</h1></header><p>{long}</p><p>No.</p></article><div class='side-bar'><p>{long}</p></div><p>{long}</p>"
+    assert main_text(outside) == "\n".join(["T", one, "No."])
+    divs = f"<div class='topNav'><a href=a>Home</a></div><div class='post'><div class='post-header'><h1>A title</h1></div><div class='post-body'><p>{long}</p><p>Ok.</p><p>{long}</p></div></div><ol class='commentlist'><li><p>{long}</p></li></ol><div class='cookieBanner'>{long}</div>"
+    assert main_text(divs) == "\n".join(["A title", one, "Ok.", one])
     assert [main_text(x) for x in (None, "", "<p>", "<p", "a < b", "&amp")][:4] == ["", "", "", ""]
 
 

@@ -32,13 +32,15 @@ BOILER_TAGS = frozenset("aside footer header menu nav".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BOILER_WORDS = frozenset(
-    "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond responses share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar warning widget widgets".split()
+    "ad ads adbox adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies discussion disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond responses share sharing shoutbox side sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: The classifier's weights, and the smoothness of neighbours and of neighbours of one parent.
 BIAS, LENGTH_WEIGHT, LINK_WEIGHT, SENTENCE_WEIGHT, HEADING_WEIGHT, ITEM_WEIGHT = -1.6, 0.55, -5.0, 0.8, 1.2, -0.6
-INSIDE_CONTENT, INSIDE_BOILER, CONTENT_NAME = 6.0, -16.0, 1.5
+INSIDE_CONTENT, OUTSIDE_CONTENT, INSIDE_BOILER, CONTENT_NAME = 6.0, -8.0, -16.0, 1.5
 NEXT_TO, SAME_PARENT = 0.4, 1.2
+#: Characters inside article or main elements from which a page counts as marking its content.
+MARKED_CHARS = 80
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -64,6 +66,13 @@ class Block:
         self.text, self.owner, self.link_share, self.heading, self.item = text, owner, link_share, heading, item
 
 
+def names_boiler(label: str) -> bool:
+    """Whether a class or id names boilerplate; an entry's or article's header is its title."""
+    words = {w.lower() for w in _WORDS.findall(label)} | {label.replace("-", "").replace("_", "").lower()}
+    hits = words & BOILER_WORDS
+    return bool(hits) and not (hits == {"header"} and bool(words & CONTENT_WORDS))
+
+
 def opened(name: str, attributes: str, number: int, parent: Element) -> Element:
     """The element of a start tag below parent."""
     content, boiler, named, dropped = parent.content, parent.boiler, parent.named, parent.dropped or name in DROPPED_TAGS
@@ -74,9 +83,10 @@ def opened(name: str, attributes: str, number: int, parent: Element) -> Element:
     if attributes.strip():
         found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
         role = found.get("role", "").lower()
-        words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-        if name not in ("html", "body") and name not in CONTENT_TAGS:
-            boiler = boiler or role in BOILER_ROLES or bool(words & BOILER_WORDS)
+        labels = (found.get("class", "") + " " + found.get("id", "")).split()
+        words = {w.lower() for w in _WORDS.findall(" ".join(labels))}
+        if name not in ("html", "body"):
+            boiler = boiler or role in BOILER_ROLES or any(map(names_boiler, labels))
         named = named or bool(words & CONTENT_WORDS) or found.get("itemprop", "").lower() == "articlebody"
         content = content or role in ("main", "article")
         style = found.get("style", "").replace(" ", "").lower()
@@ -162,8 +172,8 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def leaning(block: Block) -> float:
-    """The classifier: log odds of a block being content."""
+def leaning(block: Block, marked: bool) -> float:
+    """The classifier: log odds of a block being content; marked if the page marks its content."""
     size = len(block.text)
     x = BIAS + LENGTH_WEIGHT * math.log1p(size / 8) + LINK_WEIGHT * min(block.link_share, 1.0)
     x += SENTENCE_WEIGHT * min(len(_SENTENCE.findall(block.text)), 4) / 2
@@ -171,6 +181,8 @@ def leaning(block: Block) -> float:
     x += CONTENT_NAME * block.owner.named
     if block.owner.content:
         x += INSIDE_CONTENT
+    elif marked:
+        x += OUTSIDE_CONTENT
     # A heading in an article's own header is the article's.
     if block.owner.boiler and not (block.heading and block.owner.content and block.owner.name in ("h1", "h2", "header", "hgroup")):
         x += INSIDE_BOILER
@@ -248,7 +260,8 @@ def main_text(page: str | None) -> str:
         if b.owner.parent in last:
             edges.append((last[b.owner.parent], k, SAME_PARENT))
         last[b.owner.parent] = k
-    kept = minimum_cut([leaning(b) for b in blocks], edges)
+    marked = sum(len(b.text) for b in blocks if b.owner.content and not b.owner.boiler) >= MARKED_CHARS
+    kept = minimum_cut([leaning(b, marked) for b in blocks], edges)
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
