@@ -24,10 +24,10 @@ from pyspark.sql.types import StructType
 from .shared import small_batches
 
 MARK = "▁"
-#: Distinct words whose ids a task keeps; beyond it they are forgotten and encoded anew.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a task keeps, and neighbours a worker knows; beyond it they are forgotten.
+CACHE_WORDS = 250_000
 #: Texts that are split into words at a time.
-SLICE_DOCS = 1_024
+SLICE_DOCS = 512
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -74,7 +74,7 @@ class Pieces:
         key = (left, right)
         known = self._beside.get(key)
         if known is None:
-            if len(self._beside) > 2_000_000:
+            if len(self._beside) > CACHE_WORDS:
                 self._beside.clear()
             known = self._beside[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -145,9 +145,14 @@ def marked_words(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
+def _pieces(model_file: str) -> Pieces:
+    """The model, one for all tasks of a Python worker."""
+    return Pieces(model_file)
+
+
 def _encoder(model_file: str) -> Callable[[list], list[bytes]]:
-    """An encoder of lists of texts, one for all tasks of a Python worker."""
-    pieces, cache = Pieces(model_file), {}
+    """An encoder of lists of texts; it keeps words it has met, so a task makes one and lets it go."""
+    pieces, cache = _pieces(model_file), {}
 
     def encode(texts: list) -> list[bytes]:
         split = [marked_words(t) if t else [] for t in texts]
@@ -170,8 +175,9 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     names, schema = docs.columns, StructType([*docs.schema.fields]).add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model_file)
         for batch in batches:
-            encoder, column = _encoder(model_file), batch.column("text")
+            column = batch.column("text")
             for lo in range(0, batch.num_rows, SLICE_DOCS):
                 part = batch.slice(lo, SLICE_DOCS)
                 ids = encoder(column.slice(lo, SLICE_DOCS).to_pylist())
@@ -180,10 +186,9 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-@lru_cache(maxsize=1)
 def _decoder(model_file: str) -> Callable[[bytes], str]:
-    """A decoder of packed ids, one for all tasks of a Python worker."""
-    raw = Pieces(model_file).raw
+    """A decoder of packed ids."""
+    raw = _pieces(model_file).raw
 
     def decode_one(ids: bytes) -> str:
         return b"".join(map(raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").removeprefix(" ")
@@ -197,8 +202,8 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     names, schema = encoded.columns, StructType([*encoded.schema.fields]).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _decoder(model_file)
         for batch in batches:
-            decoder = _decoder(model_file)
             texts = [decoder(ids or b"") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
@@ -215,8 +220,8 @@ def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(model_file), _decoder(model_file)
         for batch in batches:
-            encoder, decoder = _encoder(model_file), _decoder(model_file)
             for lo in range(0, batch.num_rows, SLICE_DOCS):
                 part = batch.slice(lo, SLICE_DOCS)
                 texts = part.column(1).to_pylist()

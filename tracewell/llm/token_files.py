@@ -12,6 +12,7 @@ integers, so a file reads the same anywhere.
 from __future__ import annotations
 
 import math
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,8 +30,8 @@ BLOCK_IDS = 1 << 19
 LANES = 4_096
 LANE_IDS = 64
 END_ID = 1
-#: Distinct words whose ids a Python worker keeps; beyond it they are forgotten.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a task keeps; beyond it they are forgotten.
+CACHE_WORDS = 250_000
 #: Bytes of text of a file, on average.
 FILE_TEXT_BYTES = 16 << 20
 
@@ -244,18 +245,21 @@ _TAIL = ".,;:!?#*$%&)]}"
 
 
 @lru_cache(maxsize=1)
+def _model(path: str) -> object:
+    """The tokenizer, one for all tasks of a Python worker; it is to use no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def _tokenizer(path: str) -> Callable[[list], list[bytes]]:
     """An encoder of lists of texts to packed ids; words between spaces and line ends are encoded once.
 
     The tokenizer's words never cross white space, so a text's ids are its words' ids in turn; and a
     run of punctuation after a letter or digit is a word of its own, so it is cut off first.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model, cache = Tokenizer.from_file(path), {}
+    model, cache = _model(path), {}
 
     def plain(text: str) -> str:
         # The tokenizer lowers all letters; ASCII ones are lowered here, unless that could make a special token.
@@ -304,6 +308,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, docs_, sizes, held, total = 0, 0, [], [], [], 0
+        encode = _tokenizer(tokenizer_path)
 
         def close() -> pa.RecordBatch:
             data = b"".join(held)
@@ -317,7 +322,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str) -> None:
             )
 
         for batch in batches:
-            encode = _tokenizer(tokenizer_path)
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
             for lo in range(0, batch.num_rows, 256):
