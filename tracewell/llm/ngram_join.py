@@ -32,7 +32,7 @@ WIDTH = 5
 #: Vertical fragments in which a pair's overlap is counted.
 OVERLAP_FRAGMENTS = 4
 #: Prefix shingles of a candidate fragment, on average.
-FRAGMENT_SHINGLES = 2_000_000
+FRAGMENT_SHINGLES = 500_000
 #: Most frequent shingles that are known as such; others keep their hash order, results don't depend on it.
 FREQUENT_LIMIT = 200_000
 #: Shingles that are counted together on the way to the frequent ones.

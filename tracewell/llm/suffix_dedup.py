@@ -31,7 +31,7 @@ LENGTH = 200
 #: Bytes of a trigger; a window holds LENGTH - GRAM + 1 of them.
 GRAM = 40
 #: Phrase occurrences of a task, on average.
-TASK_PHRASES = 1_000_000
+TASK_PHRASES = 200_000
 #: A text is parsed in pieces of so many window starts, which bounds memory and positions in a key.
 PIECE = 1 << 22
 _POSITION = tb.U64((1 << 24) - 1)
