@@ -3,6 +3,8 @@
 import re
 import string
 
+import pytest
+
 from tests.conftest import SMALL
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -31,9 +33,12 @@ def brute(rows):
     return {(d, len(sets[d]), find(d)) for d in sets}
 
 
-def test_all_documents(spark):
+@pytest.mark.parametrize("short_list", [2, 64])
+def test_all_documents(spark, monkeypatch, short_list):
+    from tracewell.llm import ngram_join
     from tracewell.llm.ngram_join import similar_documents
 
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short_list)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = {tuple(r) for r in similar_documents(docs).collect()}
     assert found == brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -41,6 +41,8 @@ COUNTED_SHINGLES = 2_000_000
 STAR_PERCENT = 40
 #: Partners of a document that are compared in one group; more are split over several.
 GROUP_PARTNERS = 2_000
+#: Documents of a posting list up to which it is joined with itself; of longer ones components are paired first.
+SHORT_LIST = 64
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -270,12 +272,19 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     links = materialize(verified(star.join(sizes, "a").where(likely).select("a", "b", "na", "nb"), sets), "ngram-links")
     parts = materialize(connected_components(links), "ngram-parts")
     known = lists.join(parts, lists["doc"] == parts["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    mixed_lists = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
+    mixed_lists = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("docs")).where("lo <> hi").select("token", "docs")
     open_lists = materialize(known.join(mixed_lists, "token"), "ngram-open")
-    x = open_lists.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = open_lists.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
+    x = open_lists.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), "docs")
+    y = open_lists.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "docs")
     size_fits = 100 * F.least("na", "nb") >= SIMILAR_PERCENT * F.greatest("na", "nb")
-    across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & size_fits)
+    short = x.where(f"docs <= {SHORT_LIST}").join(y.drop("docs"), "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & size_fits)
+    # A long list's components are paired before its documents are, so its work grows with the pairs that
+    # lie across its components, not with the square of its length.
+    held = open_lists.where(f"docs > {SHORT_LIST}").select("token", "part").distinct()
+    paired = held.select("token", F.col("part").alias("pa")).join(held.select("token", F.col("part").alias("pb")), "token").where("pa < pb")
+    long = paired.join(x.where(f"docs > {SHORT_LIST}"), ["token", "pa"]).join(y.where(f"docs > {SHORT_LIST}").drop("docs"), ["token", "pb"]).where(size_fits)
+    long = long.select("token", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
+    across = short.select(long.columns).union(long)
     # Of the set whose prefix ends first, every shared prefix shingle is in the other's prefix too, so
     # what both prefixes share and the rest of that set bound the overlap.
     shared = across.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
