@@ -49,6 +49,33 @@ def test_quality_verdicts(spark):
     assert judge(clash).first().n_words == 2
 
 
+def test_planted_gibberish_and_wrong_language(spark):
+    import random
+
+    from tracewell.llm.quality_rules import judge
+
+    docs, labels = (spark.read.parquet(f"{MEDIUM}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "lang", "text")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    clean = defaultdict(list)
+    for r in docs.orderBy("doc_id").collect():
+        n, *_, failed = base(r.text)
+        english = r.lang != "en" and "the" in (r.text or "").lower().split()  # holds a benchmark passage
+        if r.doc_id in good and not failed and not english and n >= 100 and len(clean[r.lang]) < 5:
+            clean[r.lang].append(r.text)
+    # Spanish and French share many common words, so each under the other's name isn't asked for.
+    close = {("es", "fr"), ("fr", "es")}
+    texts = [(lang, t) for lang in clean for other in clean if lang != other and (other, lang) not in close for t in clean[other]]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfghklmnprstvaeiou") for _ in range(rng.randint(4, 9)))
+    texts += [(lang, " ".join(word() for _ in range(n))) for lang in clean for n in (100, 300, 1000)]
+    planted = spark.createDataFrame([(-1 - i, *t) for i, t in enumerate(texts)], docs.schema)
+    rows = [r for r in judge(docs.union(planted)).collect() if r.doc_id < 0]
+    assert len(rows) == len(texts) > 50 and not any(r.base_failed for r in rows)
+    assert all(r.class_distance <= 0.35 for r in rows)  # the class test lets them pass
+    assert not [(texts[-1 - r.doc_id][0], r.n_words, r.word_distance) for r in rows if r.kept]
+
+
 def test_distance():
     import math
 
