@@ -10,6 +10,7 @@ from a word's end gives the word's pieces.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -26,6 +27,10 @@ from .shared import small_batches
 MARK = "▁"
 #: Distinct words whose ids a task keeps, and neighbours a worker knows; beyond it they are forgotten.
 CACHE_WORDS = 250_000
+#: Characters of a word beyond which its ids are not kept for later texts.
+CACHE_WORD_CHARS = 100
+#: Characters from which a word is merged with a heap of neighbours instead of scans.
+HEAP_CHARS = 32
 #: Texts that are split into words at a time.
 SLICE_DOCS = 512
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -44,8 +49,11 @@ class Pieces:
         self.ids = {self.text[i]: i for i in plain}
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        #: Ends of pieces: True if a piece itself.
-        self.kinds = {p[k:]: False for p in self.ids for k in range(len(p))} | dict.fromkeys(self.ids, True)
+        order = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        #: Merge order of pieces: 0 is merged first, equal scores are equal.
+        self.rank = {p: order[s] for p, s in self.score.items()}
+        #: Ends of pieces: the piece if one itself, else empty.
+        self.kinds = {p[k:]: "" for p in self.ids for k in range(len(p))} | {p: p for p in self.ids}
         self.raw = [b""] * n
         for i in plain:
             self.raw[i] = self.text[i].replace(MARK, " ").encode()
@@ -57,6 +65,8 @@ class Pieces:
 
     def merged(self, word: str) -> list[str]:
         """The word's pieces by merging: the best-scored neighbours first, of equal ones the leftmost."""
+        if len(word) > HEAP_CHARS:
+            return self.merged_by_heap(word)
         parts = list(word)
         while len(parts) > 1:
             best, at = None, -1
@@ -69,6 +79,34 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merged_by_heap(self, word: str) -> list[str]:
+        """merged() in n log n steps.
+
+        The heap has the rank and place of every pair of neighbours, packed in one integer.  One that
+        doesn't hold any more is passed over: the pair that now stands at its place has its own entry.
+        """
+        n, rank = len(word), self.rank
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 40 | k for k in range(n - 1) if (r := rank.get(word[k : k + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, at = divmod(heapq.heappop(heap), 1 << 40)
+            if parts[at] is None or (right := after[at]) == n:
+                continue
+            both = parts[at] + parts[right]
+            if rank.get(both) != r:
+                continue
+            parts[at], parts[right] = both, None
+            after[at] = following = after[right]
+            if following < n:
+                before[following] = at
+                if (r := rank.get(both + parts[following])) is not None:
+                    heapq.heappush(heap, r << 40 | at)
+            if (left := before[at]) >= 0 and (r := rank.get(parts[left] + both)) is not None:
+                heapq.heappush(heap, r << 40 | left)
+        return [p for p in parts if p is not None]
+
     def beside(self, left: str, right: str) -> bool:
         """Whether the two pieces stay apart when they stand next to each other."""
         key = (left, right)
@@ -87,12 +125,12 @@ class Pieces:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of distinct words, in one depth-first walk over their trie.
 
-        The walk keeps, for each prefix of the word at hand, its last piece and its packed ids; words
-        that share a prefix share them.
+        The walk keeps the last piece of each prefix of the word at hand; words that share a prefix
+        share them.  At a word's end its pieces are read off backwards.
         """
         found: dict[str, bytes] = {}
-        last, ids, before = [""], [b""], ""
-        kinds, known, packed_ids = self.kinds, self._beside, self.packed_ids
+        last, before = [""], ""
+        kinds, known = self.kinds, self._beside
         for word in sorted(words):
             if word.startswith(MARK + MARK):
                 found[word] = self.packed(self.merged(word))  # runs of marks have pieces of equal score
@@ -102,7 +140,7 @@ class Pieces:
                 if x != y:
                     break
                 k += 1
-            del last[k + 1 :], ids[k + 1 :]
+            del last[k + 1 :]
             for i in range(k + 1, n + 1):
                 piece = word[i - 1]
                 for j in range(i - 1, -1, -1):
@@ -116,12 +154,16 @@ class Pieces:
                         if stays is None:
                             stays = self.beside(left, p)
                         if stays:
-                            piece = p
+                            piece = kind
                             break
                 last.append(piece)
-                ids.append(ids[i - len(piece)] + (packed_ids.get(piece) or self.packed((piece,))))
             before = word
-            found[word] = ids[n]
+            parts = []
+            while n:
+                parts.append(last[n])
+                n -= len(last[n])
+            parts.reverse()
+            found[word] = self.packed(parts)
         return found
 
 
@@ -151,7 +193,7 @@ def _pieces(model_file: str) -> Pieces:
 
 
 def _encoder(model_file: str) -> Callable[[list], list[bytes]]:
-    """An encoder of lists of texts; it keeps words it has met, so a task makes one and lets it go."""
+    """An encoder of lists of texts; it keeps short words it has met, so a task makes one and lets it go."""
     pieces, cache = _pieces(model_file), {}
 
     def encode(texts: list) -> list[bytes]:
@@ -161,7 +203,11 @@ def _encoder(model_file: str) -> Callable[[list], list[bytes]]:
             cache.clear()
         cache.update(pieces.encode_words(w for w in new if w not in cache))
         get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        ids = [b"".join(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > CACHE_WORD_CHARS:
+                del cache[w]
+        return ids
 
     return encode
 
