@@ -56,6 +56,21 @@ def test_chains_copies_and_edges(spark):
     assert found == brute(rows)
 
 
+def test_repeated_doc_ids(spark):
+    from tracewell.llm.ngram_join import similar_documents
+
+    words = [f"w{i}" for i in range(90)]
+    whole, half = " ".join(words), " ".join(words[:60] + [f"x{i}" for i in range(30)])  # 56 of 116 shingles shared
+    other, near = " ".join(f"y{i}" for i in range(90)), " ".join([f"y{i}" for i in range(87)] + ["z1", "z2", "z3"])
+    rows = [(1, half), (2, whole), (2, whole), (2, whole)]  # copies of 2 are one document, and unlike 1
+    rows += [(4, half), (4, half)]  # a copy of 1
+    rows += [(5, near), (6, whole), (6, other), (6, other), (7, "too short"), (7, "too short"), (8, None), (8, None)]  # 6 has two sets
+    rows += [(None, whole), (None, whole)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.component_id or 0) for r in similar_documents(docs).collect())
+    assert found == [(0, 0)] * 2 + [(1, 1)] + [(2, 2)] * 3 + [(4, 1)] * 2 + [(5, 2)] + [(6, 2)] * 3 + [(7, 7)] * 2 + [(8, 8)] * 2
+
+
 def test_no_rows(spark):
     from tracewell.llm.ngram_join import similar_documents
 

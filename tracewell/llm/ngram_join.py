@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import BROADCAST_LIMIT_BYTES, connected_components, materialize, small_batches
+from .shared import BROADCAST_LIMIT_BYTES, connected_components, materialize, sized, small_batches
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -246,14 +246,38 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     Two documents link at a Jaccard similarity of 80 % or more; component_id is the least doc_id
     reachable.  Null and empty texts have no shingles and are alone.  Documents with the same set
     are one candidate, the least doc_id, and its component is theirs.  Rows that repeat a doc_id
-    are taken as copies of one document if their sets agree.  Null doc_ids stay alone, with a null
+    are copies of one document if their sets agree, and are compared once; where they differ, each
+    set is compared apart and the doc_id has the links of all.  Null doc_ids stay alone, with a null
     component.  Extra columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    sets = materialize(shingle_table(docs, size), "ngram-sets")
+    sets = materialize(shingle_table(docs, size).withColumn("row", F.monotonically_increasing_id()), "ngram-sets")
+    total, filled, different = sets.agg(F.sum("n"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    edges = linked_sets(sets, total or 0) if filled == different else links_of_repeated(sets, total or 0)
+    final = connected_components(edges)
+    return sets.join(final, sets["doc_id"] == final["node"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    )
+
+
+def links_of_repeated(sets: DataFrame, total: int) -> DataFrame:
+    """linked_sets() of sets with repeated doc_ids: each set of a doc_id once, named by its row meanwhile."""
+    named = sets.where("n > 0 and doc_id is not null")
+    same = ["doc_id", "n", "key_a", "key_b"]
+    narrow = named.select("row", *same)
+    firsts = narrow.groupBy(*same).agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    surplus = materialize(narrow.join(firsts, same).where("row <> first").select("row"), "ngram-surplus")
+    once = named.join(sized(surplus, 16), "row", "left_anti").select(F.col("row").alias("doc_id"), "n", "key_a", "key_b", "shingles")
+    links = linked_sets(once, total)
+    x = sets.select(F.col("row").alias("a"), F.col("doc_id").alias("doc_a"))
+    y = sets.select(F.col("row").alias("b"), F.col("doc_id").alias("doc_b"))
+    return links.join(x, "a").join(y, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
+def linked_sets(sets: DataFrame, total: int) -> DataFrame:
+    """(a, b): links that connect similar sets, by doc_id, which has to be unique.  total is the sum of n."""
+    spark = sets.sparkSession
     alike = sets.where("n > 0").groupBy("n", "key_a", "key_b").agg(F.min("doc_id").alias("chosen"), F.count("*").alias("copies"))
     alike = materialize(alike, "ngram-alike")
-    total = sets.agg(F.sum("n")).first()[0] or 0
     copies = materialize(
         sets.where("n > 0").select("doc_id", "n", "key_a", "key_b").join(alike.where("copies > 1"), ["n", "key_a", "key_b"]).select("doc_id", "chosen"), "ngram-copies"
     )
@@ -282,8 +306,4 @@ def similar_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     most = F.greatest(F.col("na") - prefix_size("na"), F.col("nb") - prefix_size("nb")) + F.col("shared")
     across = shared.where((100 + SIMILAR_PERCENT) * most >= SIMILAR_PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     more = materialize(verified(across, sets), "ngram-more")
-    edges = links.union(more).union(copies.where("doc_id <> chosen").select("chosen", "doc_id"))
-    final = connected_components(edges)
-    return sets.join(final, sets["doc_id"] == final["node"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    return links.union(more).union(copies.where("doc_id <> chosen").select("chosen", "doc_id"))
