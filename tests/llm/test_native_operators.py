@@ -171,3 +171,16 @@ def test_mix(spark):
     order = [r.position for r in in_training_order(again).collect()]
     assert order == sorted(order) and len(order) == sum(len(r.positions) for r in rows)
     assert mix(docs.limit(0)).collect() == []
+
+
+def test_a_third_of_equal_rows(spark, tmp_path):
+    from tracewell.llm.sharding import write_shards
+
+    docs = spark.createDataFrame([(7, "same", {"k": 1})] * 300 + [(None, None, None)] * 100 + [(i, str(i), {"k": i}) for i in range(600)], "doc_id long, text string, extra map<string,int>").repartition(6)
+    write_shards(docs, str(tmp_path / "s"), 3, bucket_records=10)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(((r.doc_id, r.text, r.extra) for r in back.collect()), key=repr) == sorted(((r.doc_id, r.text, r.extra) for r in docs.collect()), key=repr)
+    for shard in range(3):
+        assert sorted(r.slot for r in back.where(f"shard = {shard}").collect()) == list(range(back.where(f"shard = {shard}").count()))
+    slots = sorted(r.slot for r in back.where("doc_id = 7").collect())
+    assert slots[-1] - slots[0] > 310  # they don't lie side by side

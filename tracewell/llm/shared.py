@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -53,6 +55,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that no column of df has (upper and lower case are one)."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(rows, key): docs with a column of unique longs without nulls, and its name.
+
+    That is doc_id itself where it serves.  Else rows are numbered, and written so that numbers stay.
+    """
+    total, named, different = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if total == named == different:
+        return docs, "doc_id"
+    key = fresh(docs, "row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "row-keys"), key
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is its least node.
 
