@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, materialize
+from .shared import SPACE_CLASS, materialize, sized
 
 #: The symbols counted, and frequent function words of the languages.
 SYMBOLS = r"[#*$%&|<>]"
@@ -138,6 +138,8 @@ def judge(docs: DataFrame) -> DataFrame:
         F.col("classes").alias("r_classes"), F.col("words").alias("r_words"),
         F.array(*(F.sum(F.get("classes", F.lit(i))).over(everything) for i in range(6))).alias("all_classes"),
     )
+    # A row for each language: all documents of one language would meet it in one task if it weren't broadcast.
+    refs = sized(materialize(refs, "quality-references"), 400)
     rows = counts.join(refs, counts["lang"].eqNullSafe(refs["r_lang"]), "left").drop("r_lang")
     real = lambda c: F.transform(c, lambda x: x.cast("double"))
     rows = rows.withColumn("class_distance", js_distance(real(F.col("classes")), real(F.when(F.col("own"), F.col("r_classes")).otherwise(F.col("all_classes")))))
