@@ -1,19 +1,23 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 Statistics of whole texts are standardized and mapped by random Fourier features, whose inner
-products approximate a Gaussian kernel.  Partitions sum the normal equations of ridge regression,
-so any number of labelled rows gives one matrix of fixed size to the driver.  Ridge outputs are
-calibrated by isotonic regression over a fixed number of bins.
+products approximate a Gaussian kernel.  As an addition the standardized statistics themselves are
+features too, so that the score goes on where the kernel has no labelled neighbours.  Partitions sum
+the normal equations of ridge regression, so any number of labelled rows gives one matrix of fixed
+size to the driver.  Features lie on a grid and are summed as integers, so the sums don't depend on
+how rows are dealt.  Ridge outputs are calibrated by isotonic regression over a fixed number of bins,
+on learning rows that the ridge hasn't seen.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -26,8 +30,10 @@ SEED = 7
 THRESHOLD = 0.3
 #: Share of the uncalibrated output in a score; it orders texts that calibration leaves equal.
 TIE_SHARE = 1e-3
-#: Rows with this remainder of crc32(doc_id) modulo 5 are held out.
-HELD_OUT_REMAINDER = 0
+#: Rows with this remainder of crc32(doc_id) modulo 5 are held out; of the others, those with the second one calibrate.
+HELD_OUT_REMAINDER, CALIBRATION_REMAINDER = 0, 1
+#: Features of the normal equations are multiples of 1 / GRID.
+GRID = 4096
 
 _CLASSES = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".,;:'\"()-", b"!?", b"|", b"#*$%&<>~^=+@\\/{}[]_`"), 1):
@@ -142,15 +148,33 @@ def isotonic(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), m) for _, m, n in blocks]) if blocks else np.zeros(0)
 
 
+def remainder() -> Column:
+    """crc32 of the doc_id as text, modulo 5."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
+def added(blocks: Iterator[np.ndarray], m: int) -> np.ndarray:
+    total = np.zeros((m, m + 1), np.int64)
+    for block in blocks:
+        total += block
+    return total
+
+
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """A model of labels (doc_id, y) over stats (doc_id, x); labels that are null are left out.
 
-    With no labelled row every score is one half.
+    With no labelled row every score is one half.  Where no row is left for one of ridge and
+    calibration, all rows serve for both.
     """
-    rows = materialize(stats.join(labels.where("y is not null").select("doc_id", F.col("y").cast("double").alias("y")), "doc_id").select("x", "y"), "quality-train")
+    found = stats.join(labels.where("y is not null").select("doc_id", F.col("y").cast("double").alias("y")), "doc_id")
+    found = materialize(found.select("x", "y", (remainder() == CALIBRATION_REMAINDER).alias("calibrates")), "quality-train")
+    learning, calibrating = found.where("not calibrates"), found.where("calibrates")
+    if learning.isEmpty() or calibrating.isEmpty():
+        learning = calibrating = found
+    rows = learning.select("x", "y")
     d = len(NAMES)
     moments = rows.agg(F.count("*"), *(F.avg(F.get("x", F.lit(i))) for i in range(d)), *(F.stddev_pop(F.get("x", F.lit(i))) for i in range(d))).first()
-    mean, scale = (np.array([v or 0.0 for v in moments[1 + k * d : 1 + (k + 1) * d]]) for k in range(2))
+    mean, scale = (np.array([v or 0.0 for v in moments[1 + k * d : 1 + (k + 1) * d]]).astype(np.float32).astype(float) for k in range(2))
     scale[scale < 1e-6] = 1.0
     rng = np.random.Generator(np.random.PCG64(SEED))
     frequencies = rng.normal(0, 1 / np.sqrt(d), (d, FEATURES))
@@ -158,18 +182,26 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     m = 1 + d + FEATURES
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = np.zeros((m, m + 1))
-        for batch in batches:
-            z = model.features(matrix(batch, 0))
-            a += z.T @ np.hstack([z, batch.column(1).to_numpy(zero_copy_only=False)[:, None]])
-        i, j = np.indices(a.shape).reshape(2, -1)
-        upper = i <= j
-        yield pa.RecordBatch.from_arrays([pa.array(i[upper].astype(np.int32)), pa.array(j[upper].astype(np.int32)), pa.array(a.reshape(-1)[upper])], ["i", "j", "v"])
-
-    total = rows.mapInArrow(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
-    normal = np.zeros((m, m + 1))
-    normal[total["i"].to_numpy(), total["j"].to_numpy()] = total["v"].to_numpy()
-    square = np.triu(normal[:, :m]) + np.triu(normal[:, :m], 1).T
+        def products(batch: pa.RecordBatch) -> np.ndarray:
+            # Whole numbers whose products and sums over a batch are exact in doubles.
+            z = np.rint(model.features(matrix(batch, 0)) * GRID)
+            y = np.rint(batch.column(1).to_numpy(zero_copy_only=False) * GRID)
+            return (z.T @ np.hstack([z, y[:, None]])).astype(np.int64)
+
+        a = added((products(b.slice(lo, 4096)) for b in batches for lo in range(0, b.num_rows, 4096)), m)
+        if a.any():
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["sums"])
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = added((np.frombuffer(x.as_buffer(), np.int64).reshape(m, m + 1) for b in batches for x in b.column(0)), m)
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["sums"])
+
+    # A row a task, added in about as many groups as each of them has rows, then on the driver.
+    per_task = rows.mapInArrow(sums, "sums binary")
+    groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    total = per_task.repartition(groups).mapInArrow(combined, "sums binary").toArrow()
+    normal = added((np.frombuffer(x.as_buffer(), np.int64).reshape(m, m + 1) for x in total["sums"]), m) / GRID**2
+    square = normal[:, :m]
     n = moments[0] or 0
     if not n:
         model.weights = np.zeros(m)
@@ -184,12 +216,36 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
             at = ((np.clip(model.raw(matrix(batch, 0)), -1, 2) + 1) / 3 * BINS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at, BINS - 1)), batch.column(1)], ["bin", "y"])
 
-    table = rows.mapInArrow(bins, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").toArrow()
+    table = calibrating.select("x", "y").mapInArrow(bins, "bin int, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").toArrow()
     model.knots = (table["bin"].to_numpy() + 0.5) / BINS * 3 - 1
     model.levels = isotonic(table["n"].to_numpy().astype(float), table["y"].to_numpy())
     return model
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labels that may be learnt from."""
+    return labels.select(F.col("doc_id").cast("long"), F.col(label).alias("y")).where(remainder() != HELD_OUT_REMAINDER)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The rows of docs, with all their columns, whose own text scores THRESHOLD or more.
+
+    Scores are those of scored(); rows are judged each, whatever their doc_id, null or repeated.
+    Statistics are computed again on the way, which is cheaper than bringing scores to texts.
+    """
+    model = fit(materialize(statistics_table(docs), "quality-stats"), known_labels(labels, label))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tb.buffers(batch.column("text"))
+            for lo, hi in tb.slices(offsets):
+                part = offsets[lo : hi + 1]
+                x = statistics(data[part[0] : part[-1]], part - part[0]).astype(np.float32).astype(float)
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.score(x) >= THRESHOLD))
+
+    return small_batches(docs).mapInArrow(keep, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; learns from rows not held out.
 
@@ -198,9 +254,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     from.  Only doc_id and text of docs are read.
     """
     stats = materialize(statistics_table(docs), "quality-stats")
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("y")).where(remainder != HELD_OUT_REMAINDER)
-    model = fit(stats, known)
+    model = fit(stats, known_labels(labels, label))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,5 +262,5 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return stats.mapInArrow(apply, "doc_id long, score double, predicted int").select(
-        "doc_id", F.coalesce(remainder == HELD_OUT_REMAINDER, F.lit(False)).alias("held_out"), "score", "predicted"
+        "doc_id", F.coalesce(remainder() == HELD_OUT_REMAINDER, F.lit(False)).alias("held_out"), "score", "predicted"
     )
