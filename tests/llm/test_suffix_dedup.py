@@ -61,3 +61,39 @@ def test_no_rows(spark):
     from tracewell.llm.suffix_dedup import digest
 
     assert digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_suffix_ranks_follow_byte_order():
+    import numpy as np
+
+    from tracewell.llm.suffix_dedup import suffix_ranks
+
+    r = random.Random(5)
+    part = bytes(r.choices(b"ab", k=260))
+    blob = b"".join([bytes(r.choices(b"ab", k=240)), part, bytes(r.choices(b"\0\xff", k=230)), part[:230], b"z" * 203, b"z" * 201])
+    starts = np.arange(len(blob) - 199)
+    found = suffix_ranks(np.frombuffer(blob, np.uint8), starts)
+    seen = Counter(blob[i : i + 200] for i in starts)
+    assert [x > 0 for x in found] == [seen[blob[i : i + 200]] > 1 for i in starts]
+    some = [i for i in starts if found[i]]
+    assert all((found[i] < found[j]) == (blob[i : i + 200] < blob[j : j + 200]) for i in some for j in some)
+    few = np.array([0, 240, 245])  # other starts don't count
+    assert suffix_ranks(np.frombuffer(blob, np.uint8), few).tolist() == [0, 0, 0]
+
+
+def test_a_passage_that_many_documents_share(spark, monkeypatch):
+    from tracewell.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT_PHRASES", 5)
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = text(300), text(230)
+    rows = [(i, text(220 + i % 50) + passage[i % 9 :] + text(210) + (other if i % 7 == 0 else "")) for i in range(60)]
+    rows += [(100, rows[3][1]), (101, passage), (101, passage), (None, rows[4][1]), (None, None)]
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, text_marks int, _key int").repartition(4)
+    key = lambda x: (x[0] is None, x)
+    got = sorted((tuple(x) for x in suffix_dedup.digest(docs).collect()), key=key)
+    want = [(d if d >= 0 else None, *rest) for d, *rest in brute([(-1 if d is None else d, t) for d, t in rows])]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = suffix_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows)

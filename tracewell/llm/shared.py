@@ -43,6 +43,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing depends on any more, as their readers are written themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = f"{scratch_dir(spark)}/tracewell/"
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.removeprefix("file:").lstrip("/") in path:
+                target = spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 #: Rows that Spark hands to a Python worker at a time; texts may be long, and both sides hold a batch.
 ARROW_ROWS = 2_000
 

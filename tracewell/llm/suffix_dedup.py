@@ -8,9 +8,14 @@ exactly one phrase.  Distinct phrases are the dictionary, their occurrences the
 A suffix of the corpus is followed by an equal suffix, up to LENGTH bytes, in two cases only: its
 phrase occurs again in the parse, or the suffix of its phrase equals one of another phrase of the
 dictionary.  The overlap makes the first LENGTH bytes of every suffix lie in its phrase, so the
-order of the dictionary's suffixes and the counts of the parse decide all of it, and suffixes
-need only be ranked by the class of their first LENGTH bytes, for which 64-bit hashes stand.
-Phrases are dealt by their trigger, so equal suffixes always meet in one task.
+suffix array of the dictionary, to a depth of LENGTH bytes, and the counts of the parse decide all of
+the corpus order that is needed.
+
+* The parse is ranked by phrase names, dealt by name; a batch folds its own repeats first.  Names are
+  64-bit hashes; a phrase can only be taken for another of the same trigger.
+* Phrases of one trigger meet in a task, which sorts their suffixes by prefix doubling, on bytes.
+* A trigger with very many phrases, as round a passage that many documents share, is not gathered:
+  its windows of LENGTH bytes are dealt by their own hashes and ranked like phrases.
 """
 
 from __future__ import annotations
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .shared import materialize, small_batches
+from .shared import discard, fresh, materialize, sized, small_batches
 
 LENGTH = 200
 #: Bytes of a trigger; a window holds LENGTH - GRAM + 1 of them.
 GRAM = 40
 #: Phrase occurrences of a task, on average.
 TASK_PHRASES = 200_000
+#: Distinct phrases of a trigger beyond which they aren't gathered in one task.
+HOT_PHRASES = 4_096
 #: A text is parsed in pieces of so many window starts, which bounds memory and positions in a key.
 PIECE = 1 << 22
 _POSITION = tb.U64((1 << 24) - 1)
@@ -106,67 +113,97 @@ def joined_ranges(key: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple
 _COLUMNS = (np.int64, np.int32, np.int32, np.uint64, np.uint64, np.bool_)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs with the key by which rows of equal doc_id and text, and only those, go together."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text", F.lit(LENGTH)))
+def suffix_ranks(blob: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The rank of the LENGTH bytes of blob from each start, in byte order; 0 for those that no other start has.
 
-
-def window_marks(docs: DataFrame, text_bytes: int) -> DataFrame:
-    """(key, first, last): ranges of window starts whose windows also start somewhere else."""
+    Prefix doubling: ranks of 8 bytes give those of 16, and so on; a place whose bytes are alone drops out.
+    """
+    n = len(blob) - 7
+    rank = np.zeros(max(n, 0) + LENGTH, np.int64)
+    wide = np.zeros(n, tb.U64)
+    for k in range(8):
+        wide = wide << tb.U64(8) | blob[k : k + n]
+    alive, key = np.arange(n), wide
+    size = 8
+    while True:
+        _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+        many = times[at] > 1
+        ranks = np.zeros(len(rank), np.int64)
+        ranks[alive[many]] = at[many] + 1
+        rank = ranks
+        if size == LENGTH:
+            return rank[starts]
+        step = min(size, LENGTH - size)
+        alive = alive[many]
+        if size + step == LENGTH:
+            alive = np.intersect1d(alive, starts, assume_unique=True)
+        alive = alive[rank[alive + step] > 0]
+        key = rank[alive] << 32 | rank[alive + step]
+        size += step
+
+
+def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """((key, first, last), tables): ranges of window starts whose windows also start somewhere else, and what they are read from."""
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-text_bytes // (80 * TASK_PHRASES)))
+    whole = "task int, key binary, first binary, last binary, trigger binary, name binary, twice binary"
+    ranges = "key long, first int, last int, trigger long, kind int"
+
+    def dealt(key, first, last, trigger, name, twice) -> pa.RecordBatch:
+        """A batch's phrases for the tasks of their names: those that it has twice are marked, and one of each goes on."""
+        order = np.argsort(name, kind="stable")
+        sorted_name = name[order]
+        new = np.r_[True, sorted_name[1:] != sorted_name[:-1]] if len(name) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        again, known = np.zeros(len(name), bool), np.zeros(len(name), bool)
+        if len(name):
+            again[order] = (np.bincount(group) > 1)[group]
+            known[order] = np.bincount(group, twice[order]).astype(bool)[group]
+        leader = np.zeros(len(name), bool)
+        leader[order] = new
+        todo = again & ~twice
+        marked = joined_ranges(key[todo], first[todo], last[todo])
+        twice = again | known
+        key, first, last, trigger, name, twice = (x[leader] for x in (key, first, last, trigger, name, twice))
+        task = (name % tb.U64(tasks)).astype(np.int32)
+        order = np.argsort(task, kind="stable")
+        task = task[order]
+        cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, np.int64)
+        ends = np.r_[cuts[1:], len(task)]
+        parts = [np.ascontiguousarray(x[order].astype(kind)) for x, kind in zip((key, first, last, trigger, name, twice), _COLUMNS, strict=True)]
+        out = [task[cuts].tolist(), *([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)] for x in parts)]
+        if len(marked[0]):
+            out[0].append(int(np.uint64(marked[0][0].view(np.uint64)) % np.uint64(tasks)))
+            for k in range(6):
+                out[k + 1].append(marked[k].astype(_COLUMNS[k]).tobytes() if k < 3 else b"")
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["task", "key", "first", "last", "trigger", "name", "twice"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, first, last, trigger, name = parse_batch(*tb.buffers(batch.column(1)))
-            key = batch.column(0).to_numpy()[row]
-            # Phrases that the batch itself holds twice are marked here, and one of each goes on: a very
-            # common phrase reaches its task once a batch.
-            order = np.argsort(name, kind="stable")
-            sorted_name = name[order]
-            new = np.r_[True, sorted_name[1:] != sorted_name[:-1]] if len(name) else np.zeros(0, bool)
-            group = np.cumsum(new) - 1
-            twice = np.zeros(len(name), bool)
-            twice[order] = (np.bincount(group) > 1)[group] if len(name) else new
-            leader = np.zeros(len(name), bool)
-            leader[order] = new
-            marked = joined_ranges(key[twice], first[twice], last[twice])
-            key, first, last, trigger, name, twice = (x[leader] for x in (key, first, last, trigger, name, twice))
-            task = (trigger % tb.U64(tasks)).astype(np.int32)
-            order = np.argsort(task, kind="stable")
-            task = task[order]
-            cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, np.int64)
-            ends = np.r_[cuts[1:], len(task)]
-            parts = [np.ascontiguousarray(x[order].astype(kind)) for x, kind in zip((key, first, last, trigger, name, twice), _COLUMNS, strict=True)]
-            out = [task[cuts].tolist(), *([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)] for x in parts)]
-            if len(marked[0]):
-                out[0].append(int(np.uint64(marked[0][0].view(np.uint64)) % np.uint64(tasks)))
-                for k in range(6):
-                    out[k + 1].append(marked[k].astype(_COLUMNS[k]).tobytes() if k < 3 else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["task", "key", "first", "last", "trigger", "name", "twice"])
+            yield dealt(batch.column(0).to_numpy()[row], first, last, trigger, name, np.zeros(len(name), bool))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for task, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for _, pieces in by_task(batches):
+            held = []
+            for parts in pieces:
                 columns = [np.frombuffer(p, kind) for p, kind in zip(parts, _COLUMNS, strict=True)]
                 if parts[0] and not parts[3]:
-                    yield from rows(*columns[:3], np.zeros(len(columns[0]), np.int64), 0)
+                    yield from rows(*columns[:3], None, 0)
                 else:
-                    held.setdefault(task, []).append(columns)
-        for task in list(held):
-            key, first, last, trigger, name, twice = (np.concatenate(x) for x in zip(*held.pop(task), strict=True))
-            order = np.lexsort((name, trigger))
+                    held.append(columns)
+            if not held:
+                continue
+            key, first, last, trigger, name, twice = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(name, kind="stable")
             key, first, last, trigger, name, twice = (x[order] for x in (key, first, last, trigger, name, twice))
             if not len(key):
                 continue
-            fresh = np.r_[True, trigger[1:] != trigger[:-1]]
-            new = fresh | np.r_[True, name[1:] != name[:-1]]
-            phrase, of = np.cumsum(new) - 1, np.cumsum(fresh) - 1
+            new = np.r_[True, name[1:] != name[:-1]]
+            phrase = np.cumsum(new) - 1
             again = (np.bincount(phrase) > 1)[phrase] | np.bincount(phrase, twice).astype(bool)[phrase]
             todo = again & ~twice
             yield from rows(*joined_ranges(key[todo], first[todo], last[todo]), None, 0)
-            several = (np.bincount(of[new]) > 1)[of] & new
-            yield from rows(key[several], first[several], last[several], trigger[several].view(np.int64), np.where(again[several], 2, 1))
+            yield from rows(key[new], first[new], last[new], trigger[new].view(np.int64), np.where(again[new], 2, 1))
 
     def rows(key, first, last, trigger, kind) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(key), 50_000):
@@ -181,25 +218,33 @@ def window_marks(docs: DataFrame, text_bytes: int) -> DataFrame:
                 ["key", "first", "last", "trigger", "kind"],
             )
 
-    schema = "task int, key binary, first binary, last binary, trigger binary, name binary, twice binary"
-    parsed = docs.select("_key", "text").mapInArrow(parse, schema)
-    ranked = materialize(parsed.repartition(tasks, "task").mapInArrow(rank, "key long, first int, last int, trigger long, kind int"), "suffix-ranked")
+    def gathered(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "task").sortWithinPartitions("task")
+
+    parsed = docs.select(key, "text").mapInArrow(parse, whole)
+    ranked = materialize(gathered(parsed).mapInArrow(rank, ranges), "suffix-ranked")
 
     # The dictionary's suffixes: of triggers with several phrases, each phrase once, with its bytes.
-    wanted = ranked.where("kind > 0").groupBy("key").agg(F.collect_list(F.struct("first", "last", "trigger", "kind")).alias("spans"))
-    found = docs.select(F.col("_key").alias("key"), "text").join(wanted, "key").select("key", "text", "spans")
+    dictionary = ranked.where("kind > 0")
+    several = materialize(dictionary.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1"), "suffix-triggers")
+    hot = several.where(F.col("phrases") > HOT_PHRASES).select("trigger")
+    some_hot = not hot.isEmpty()
+    cold = several.where(F.col("phrases") <= HOT_PHRASES).select("trigger")
+    alike = dictionary.join(sized(hot, 16), "trigger", "left_anti") if some_hot else dictionary
+    alike = alike.join(sized(cold, 16), "trigger")
+
+    def with_texts(phrases_: DataFrame) -> DataFrame:
+        wanted = phrases_.groupBy(F.col("key").alias("span_key")).agg(F.collect_list(F.struct("first", "last", "trigger", "kind")).alias("spans"))
+        return docs.select(F.col(key).alias("key"), "text").join(wanted, F.col("key") == F.col("span_key")).select("key", "text", "spans")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
             keys = batch.column(0).to_numpy()
-            spans = batch.column(2)
-            flat = spans.flatten()
-            a, b, trigger, kind = (flat.field(i).to_numpy() for i in range(4))
-            row = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(spans).to_numpy())
+            row, a, b, trigger, kind = spans_of(batch.column(2))
             task = (trigger.view(np.uint64) % np.uint64(tasks)).astype(np.int32)
             order = np.argsort(task, kind="stable")
-            task, a, b, kind, row = task[order], a[order].astype(np.int64), b[order].astype(np.int64), kind[order], row[order]
+            task, a, b, kind, row = task[order], a[order], b[order], kind[order], row[order]
             cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, np.int64)
             ends = np.r_[cuts[1:], len(task)]
             text = data.tobytes() if len(data) < (1 << 20) else memoryview(data)
@@ -213,44 +258,79 @@ def window_marks(docs: DataFrame, text_bytes: int) -> DataFrame:
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        for _, pieces in by_task(batches):
+            k, a, reach, kind = (np.concatenate([np.frombuffer(p[c], t) for p in pieces]) for c, t in ((0, np.int64), (1, np.int32), (2, np.int32), (3, np.int8)))
+            blob = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
+            length = reach.astype(np.int64) + LENGTH
+            begin = np.cumsum(length) - length
+            which = np.repeat(np.arange(len(k)), reach + 1)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
+            same = (suffix_ranks(blob, begin[which] + inside) > 0) & (kind[which] == 1)
+            which, start = which[same], (a[which] + inside)[same]
+            yield from rows(*joined_ranges(k[which], start, start), None, 0)
+
+    pieces = with_texts(alike).mapInArrow(cut_out, "task int, key binary, first binary, reach binary, kind binary, bytes binary")
+    marks = ranked.where("kind = 0").select("key", "first", "last")
+    marks = marks.union(gathered(pieces).mapInArrow(compare, ranges).select("key", "first", "last"))
+    if not some_hot:
+        return marks, [ranked, several]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for task, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(task, []).append(parts)
-        for task in list(held):
-            hashes, keys, starts, kinds = [], [], [], []
-            for k, a, r, kind, blob in held.pop(task):
-                k, a, r, kind, blob = (np.frombuffer(x, t) for x, t in ((k, np.int64), (a, np.int32), (r, np.int32), (kind, np.int8), (blob, np.uint8)))
-                prefix = tb.prefix_hash(blob, tb.BYTE_VALUES)
-                length = r.astype(np.int64) + LENGTH
-                begin = np.cumsum(length) - length
-                which = np.repeat(np.arange(len(k)), r + 1)
-                inside = np.arange(len(which)) - np.repeat(np.cumsum(r + 1) - (r + 1), r + 1)
-                s = begin[which] + inside
-                hashes.append(tb.span_hashes(prefix, s, s + LENGTH))
-                keys.append(k[which]), starts.append(a[which] + inside), kinds.append(kind[which])
-            h, k, s, kind = map(np.concatenate, (hashes, keys, starts, kinds))
-            order = np.argsort(h, kind="stable")
-            sorted_h = h[order]
-            same = np.zeros(len(h), bool)
-            equal = sorted_h[1:] == sorted_h[:-1]
-            same[order[1:]] |= equal
-            same[order[:-1]] |= equal
-            same &= kind == 1
-            yield from rows(*joined_ranges(k[same], s[same], s[same]), None, 0)
-
-    pieces = found.mapInArrow(cut_out, "task int, key binary, first binary, reach binary, kind binary, bytes binary")
-    partial = pieces.repartition(tasks, "task").mapInArrow(compare, "key long, first int, last int, trigger long, kind int")
-    return ranked.where("kind = 0").select("key", "first", "last").union(partial.select("key", "first", "last"))
-
-
-def marked_documents(docs: DataFrame) -> DataFrame:
-    """docs with _first and _last, the ranges of its windows that start elsewhere too (null: none)."""
-    docs = with_key(small_batches(docs))
-    text_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    marks = window_marks(docs, text_bytes).groupBy(F.col("key").alias("_mark_key")).agg(F.collect_list(F.struct("first", "last")).alias("_marks"))
-    marks = materialize(marks, "suffix-marks")
-    return docs.join(marks, docs["_key"] == marks["_mark_key"], "left").drop("_mark_key", "_key")
+            data, offsets = tb.buffers(batch.column(1))
+            keys = batch.column(0).to_numpy()
+            row, a, b, _, kind = spans_of(batch.column(2))
+            n = b - a + 1
+            start = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            row, kind = np.repeat(row, n), np.repeat(kind, n)
+            name = np.zeros(len(start), tb.U64)
+            for lo, hi in tb.slices(offsets):
+                mine = (row >= lo) & (row < hi)
+                prefix = tb.prefix_hash(data[offsets[lo] : offsets[hi]], tb.BYTE_VALUES)
+                at = offsets[row[mine]] - offsets[lo] + start[mine]
+                name[mine] = tb.span_hashes(prefix, at, at + LENGTH)
+            yield dealt(keys[row], start, start, name, name, kind == 2)
+
+    shared = with_texts(dictionary.join(sized(hot, 16), "trigger", "left_semi")).mapInArrow(windows, whole)
+    return marks.union(gathered(shared).mapInArrow(rank, ranges).where("kind = 0").select("key", "first", "last")), [ranked, several]
+
+
+def spans_of(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, first, last, trigger, kind) of the spans of a batch's rows."""
+    flat = column.flatten()
+    first, last, trigger, kind = (flat.field(i).to_numpy() for i in range(4))
+    row = np.repeat(np.arange(len(column)), pa.compute.list_value_length(column).to_numpy())
+    return row, first.astype(np.int64), last.astype(np.int64), trigger, kind
+
+
+def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(task, rows without it) of rows sorted by task; one task's rows are held at a time."""
+    held: list[list] = []
+    at = None
+    for batch in batches:
+        for task, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if task != at and held:
+                yield at, held
+                held = []
+            at = task
+            held.append(parts)
+    if held:
+        yield at, held
+
+
+def marked_documents(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of the ranges of its windows that start elsewhere too (null: none), and its name.
+
+    Rows of equal doc_id and text, and only those, go together.
+    """
+    key, marks_name = fresh(docs, "text_key"), fresh(docs, "text_marks")
+    keyed = small_batches(docs).withColumn(key, F.xxhash64("doc_id", "text", F.lit(LENGTH)))
+    text_bytes = keyed.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    found, between = window_marks(keyed, key, text_bytes)
+    marks = materialize(found.groupBy(F.col("key").alias("mark_key")).agg(F.collect_list(F.struct("first", "last")).alias("found")), "suffix-marks")
+    discard(*between)
+    joined = keyed.join(marks, keyed[key] == marks["mark_key"], "left")
+    return joined.select(*(keyed[c] for c in docs.columns), marks["found"].alias(marks_name)), marks_name
 
 
 def removed_spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +377,7 @@ def digest(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    marked = marked_documents(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "text", "_marks")
+    marked, _ = marked_documents(docs.select(F.col("doc_id").cast("long"), "text"))
     return marked.mapInArrow(summarize, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -306,21 +386,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that loses a byte is dropped whole.  Null texts stay null.
     """
+    marked, marks = marked_documents(docs)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column("text"))
             whole, texts = memoryview(data), []
             missing = batch.column("text").is_null().to_pylist()
-            for i, (a, b) in enumerate(_spans(batch.column("_marks"))):
+            for i, (a, b) in enumerate(_spans(batch.column(marks))):
                 lo, at, kept = int(offsets[i]), int(offsets[i]), []
                 for x, y in zip(a, b, strict=True):
                     kept.append(whole[at : lo + int(x)])
                     at = lo + int(y)
                 kept.append(whole[at : int(offsets[i + 1])])
                 texts.append(None if missing[i] else b"".join(kept).decode("utf-8", "ignore"))
-            names = [n for n in batch.schema.names if n != "_marks"]
+            names = [n for n in batch.schema.names if n != marks]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
-    out = marked_documents(docs).mapInArrow(remove, docs.schema)
+    out = marked.mapInArrow(remove, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
