@@ -169,3 +169,52 @@ def test_held_tokens_against_a_walk(spark):
     df = spark.createDataFrame(rows, "p int, i int, kind string, n int")
     out = held_tokens(df, F.col("kind") == "a", F.col("kind") == "b", F.when(F.col("kind") == "t", F.col("n")), ["p"], ["i"])
     assert {(x.p, x.i): x.tokens for x in out.collect()} == want
+
+
+def test_scan_of_real_files(spark, tmp_path):
+    from tracewell.sources.lines import MOST_LINE_BYTES, scan_lines, scan_stats
+
+    deep = tmp_path / "projects" / "slug" / "sub"
+    deep.mkdir(parents=True)
+    odd = b'{"a":"\xff\xfe"}\n{"b":1}\r\n\n  \n{"c":2}\nunfinished'
+    (deep / "odd.jsonl").write_bytes(odd)
+    (deep.parent / "whole.jsonl").write_bytes(b'{"x":1}\n{"y":2}\n')
+    (deep / "rollout-1.txt").write_bytes(b"no\n")
+    (deep / "empty.jsonl").write_bytes(b"")
+    big = b'{"big":"' + b"x" * MOST_LINE_BYTES + b'"}\n'
+    (deep / "big.jsonl").write_bytes(b'{"a":1}\n' + big + b'{"z":1}\n')
+    many = [f'{{"n":{k},"s":"{"é" * (k % 40)}"}}\n'.encode() for k in range(3_000)]
+    (deep / "many.jsonl").write_bytes(b"".join(many))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")  # cuts files into many blocks
+    try:
+        rows = scan_lines(spark, str(tmp_path)).collect()
+        stats = {r.path.rsplit("/", 1)[1]: r for r in scan_stats(scan_lines(spark, str(tmp_path))).collect()}
+        later = scan_lines(spark, str(tmp_path), "many.jsonl", spark.createDataFrame([(next(r.path for r in rows if r.path.endswith("many.jsonl")), sum(map(len, many[:1_000])))], "path string, cursor long")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    by = lambda name: sorted((r.offset, r.line_no, r.kind) for r in rows if r.path.endswith("/" + name))
+    assert by("odd.jsonl") == [(0, 0, "line"), (11, 1, "line"), (20, 2, "blank"), (21, 2, "blank"), (24, 2, "line")]
+    assert by("whole.jsonl") == [(0, 0, "line"), (8, 1, "line")] and by("empty.jsonl") == [] and by("rollout-1.txt") == []
+    assert by("big.jsonl") == [(0, 0, "line"), (8, 1, "oversized"), (8 + len(big), 1, "line")]
+    at = [0]
+    for line in many:
+        at.append(at[-1] + len(line))
+    assert by("many.jsonl") == [(at[k], k, "line") for k in range(3_000)]
+    assert {r.line for r in rows if r.path.endswith("many.jsonl")} == {line[:-1].decode() for line in many}
+    assert (stats["odd.jsonl"].cursor, stats["odd.jsonl"].blank, stats["big.jsonl"].oversized, stats["many.jsonl"].emitted) == (32, 2, 1, 3_000)
+    assert sorted((r.offset, r.line_no) for r in later) == [(at[k], k - 1_000) for k in range(1_000, 3_000)]
+
+
+def test_both_dialects_as_one(spark):
+    from tracewell.sources.dialects import events, facts, judge_turns
+
+    lines = lines_of(spark, ("/p/s1.jsonl", A), ("/q/rollout-x.jsonl", B)).cache()
+    assert {(r.path[1], r.harness) for r in events(lines, SALT).collect()} == {("p", "claudecode"), ("q", "codex")}
+    assert facts(lines).count() > 20
+    turns = [(r.role, r.text) for r in judge_turns(lines).where("path like '/p%'").orderBy("offset").collect()]
+    assert turns[0] == ("user", "fix the bug") and not any("Base directory" in t for _, t in turns)
+    import pytest
+
+    with pytest.raises(ValueError, match="salt"):
+        events(lines, b"short")

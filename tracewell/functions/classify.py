@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .regex import re2
@@ -136,12 +136,39 @@ def licence(text: Column) -> Column:
     )
 
 
+#: Names of licence files in order, of lockfiles whose hashes are kept, and signs of context outside the repository.
+LICENCE_FILES = ["LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING"]
+HASHED_LOCKFILES = ["go.sum", "go.mod", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "requirements.txt"]
+OUTSIDE_PARTS = ["http://", "https://", "see attached", "screenshot"]
+
+
+def repository_licence(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, spdx) of repositories' files (keys, name, content): by the first licence file that tells one."""
+    place = F.array_position(F.array(*map(F.lit, LICENCE_FILES)), F.col("name"))
+    told = files.where(F.col("name").isin(LICENCE_FILES)).withColumn("spdx", licence(F.col("content")))
+    return told.groupBy(*keys).agg(F.coalesce(F.min_by("spdx", F.when(F.col("spdx") != "", place)), F.lit("")).alias("spdx"))
+
+
+def needs_outside_context(prompts: Column) -> Column:
+    """Whether any prompt points to something outside the repository."""
+    return F.exists(prompts, lambda p: any_of([F.lower(p).contains(part) for part in OUTSIDE_PARTS]))
+
+
+def raw_code_allowed(remote: Column, base_commit: Column, is_public: Column) -> Column:
+    return (F.coalesce(remote, F.lit("")) != "") & (F.coalesce(base_commit, F.lit("")) != "") & F.coalesce(is_public, F.lit(False))
+
+
+def is_main_transcript(path: Column, root: str, slug: Column) -> Column:
+    """Whether a file lies right in its project's folder; those of subagents lie deeper."""
+    return (F.coalesce(slug, F.lit("")) != "") & (F.regexp_replace(path, r"/[^/]*$", "") == F.concat(F.lit(root.rstrip("/") + "/projects/"), slug))
+
+
 def permits_redistribution(spdx: Column) -> Column:
     return F.coalesce(spdx.isin(PERMISSIVE), F.lit(False))
 
 
 def reproducibility_problems(t: dict[str, Column]) -> Column:
-    """Reasons for which others can't reproduce a task, in order; none for a valid one.
+    """Reasons for which others can't reproduce a task, in order; none for a valid one.  Their texts are fixed values.
 
     t has remote, is_public, base_commit, prompts (a count), has_patch, base_from_start and files_touched.
     """

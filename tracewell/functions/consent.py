@@ -30,6 +30,16 @@ def opened(tier: Column) -> Column:
     return F.slice(F.array(*map(F.lit, CATEGORIES)), F.lit(1), n)
 
 
+def most_recorded(grants: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, tier): the most open tier among recorded grants (keys, tier)."""
+    return grants.groupBy(*keys).agg(tier_of(F.max(rank(F.col("tier")))).alias("tier"))
+
+
+def in_order(categories: Column) -> Column:
+    """The known categories of a list, each once, in their fixed order."""
+    return F.array_intersect(F.array(*map(F.lit, CATEGORIES)), categories)
+
+
 def required_tier(category: Column) -> Column:
     """The least tier that opens a category."""
     out = F.lit(TIERS[-1])

@@ -8,6 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 64
+#: Fixed value: the least bytes of a salt.
+LEAST_SALT_BYTES = 16
+
+
+def salt_of(digits: str) -> bytes:
+    """A salt from its hexadecimal digits; one that is no hexadecimal or too short is refused."""
+    salt = bytes.fromhex(digits.strip())
+    if len(salt) < LEAST_SALT_BYTES:
+        raise ValueError(f"a salt has to have {LEAST_SALT_BYTES} bytes or more")
+    return salt
+
+
+def submission_id() -> Column:
+    """A new submission's name: 'sub_' and 24 random hexadecimal digits."""
+    return F.concat(F.lit("sub_"), F.substring(F.translate(F.uuid(), "-", ""), 1, 24))
 
 
 def _pads(salt: bytes) -> tuple[bytes, bytes]:

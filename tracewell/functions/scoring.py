@@ -42,6 +42,11 @@ def round1(x: Column) -> Column:
     return round_half_away(x, 1)
 
 
+def hours_between(later: Column, earlier: Column) -> Column:
+    """Hours from one timestamp to another."""
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / 3_600_000_000
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 

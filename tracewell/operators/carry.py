@@ -24,15 +24,17 @@ def ordinals(df: DataFrame, name: str, keys: list[str], order: list[str]) -> Dat
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
-def held_tokens(df: DataFrame, holder: Column, boundary: Column, tokens: Column, keys: list[str], order: list[str]) -> DataFrame:
-    """(keys, seq of the holder, tokens): token counts summed on the holder they belong to.
+def held_tokens(df: DataFrame, holder: Column, boundary: Column, tokens: Column | dict[str, Column], keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, order, seq of the holder, tokens): token counts summed on the holder they belong to, under the names given.
 
     A count goes to the last holder before it unless a boundary came since; then to the next
     holder, and nowhere if none follows.  A boundary is a row that lets go of what is held; a holder
     lets go of the holder before it.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.select(*keys, *order, holder.alias("_holder"), boundary.alias("_boundary"), tokens.alias("_tokens")).withColumn("_seq", F.row_number().over(w))
+    amounts = tokens if isinstance(tokens, dict) else {"tokens": tokens}
+    counted = F.array_compact(F.array(*amounts.values()))
+    rows = df.select(*keys, *order, holder.alias("_holder"), boundary.alias("_boundary"), F.when(F.size(counted) > 0, F.struct(*(c.alias(n) for n, c in amounts.items()))).alias("_tokens")).withColumn("_seq", F.row_number().over(w))
     before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumns({
         "_last": F.max(F.when(F.col("_holder"), F.col("_seq"))).over(before),
@@ -40,10 +42,10 @@ def held_tokens(df: DataFrame, holder: Column, boundary: Column, tokens: Column,
         "_next": F.min(F.when(F.col("_holder"), F.col("_seq"))).over(after),
     })
     target = F.when(F.col("_last") > F.coalesce("_edge", F.lit(0)), F.col("_last")).otherwise(F.col("_next"))
-    counts = rows.where("_tokens is not null").withColumn("_target", target).where("_target is not null").groupBy(*keys, "_target").agg(F.sum("_tokens").alias("tokens"))
+    counts = rows.where("_tokens is not null").withColumn("_target", target).where("_target is not null").groupBy(*keys, "_target").agg(*(F.sum(F.col("_tokens")[n]).alias(n) for n in amounts))
     holders = rows.where("_holder").drop("_holder", "_boundary", "_tokens", "_last", "_edge", "_next")
     joined = holders.join(counts.withColumnRenamed("_target", "_seq"), [*keys, "_seq"], "left")
-    return joined.withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumnRenamed("_seq", "seq")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in amounts}).withColumnRenamed("_seq", "seq")
 
 
 def pending_at_end(df: DataFrame, call: Column, answer: Column, keys: list[str], order: list[str]) -> DataFrame:

@@ -26,6 +26,16 @@ def interleaved(turns: DataFrame, keys: list[str], turn: str = "turn_index", kin
     return rows.withColumn(body, cut)
 
 
+def judged_turns(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """turns (keys, turn_index, role, seq, text) in the order a judge reads them, as (keys, turns): blank ones go.
+
+    Of one turn index prompts come before assistants' messages, each in their own order.
+    """
+    at = F.struct("turn_index", (F.col("role") != "user").alias("late"), "seq")
+    rows = turns.where(text.strip(F.coalesce("text", F.lit(""))) != "").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "role", "text"))).alias("t"))
+    return rows.select(*keys, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+
+
 def headlines(prompts: DataFrame, keys: list[str], order: str, body: str) -> DataFrame:
     """Per key: title, statement and number of follow-ups, from its developer prompts in order."""
     gathered = prompts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, body))).alias("_p"))

@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -135,7 +135,7 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
 
 
 def evidence(facts: DataFrame) -> DataFrame:
-    """(path, evidence): per session file its observed signals in order, as (signal, value, offset, detail)."""
+    """(path, evidence): per session file its observed signals in order, as (signal, value, offset, detail); details are fixed values."""
     order = ["offset", "place"]
     rows = seen_before(facts, "spoken", F.col("kind") == "assistant", ["path"], order)
     call = F.col("kind") == "call"
@@ -157,6 +157,11 @@ def evidence(facts: DataFrame) -> DataFrame:
     return listed.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "n", "e"))), lambda x: x["e"]).alias("evidence"))
 
 
+def evidence_count(evidence_: Column, signal: str) -> Column:
+    """How often a signal stands in a session's evidence."""
+    return F.size(F.filter(evidence_, lambda e: e["signal"] == signal))
+
+
 def scored(fold: DataFrame, outcomes: DataFrame, judged: str | None = None) -> DataFrame:
     """Scores of session files from their fold and outcomes; turns are human turns where these are known."""
     rows = is_scorable(fold).join(outcomes, "path", "left")

@@ -153,8 +153,9 @@ NOW_SQL = "(SELECT max(epoch_us(ts)) FROM events)"
 
 def with_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events beside the table's last time, which stands for the present."""
-    now = events(spark, sf_dir).agg(F.max("us")).first()[0]
-    return events(spark, sf_dir).withColumn("now", F.lit(now).cast("long"))
+    now = events(spark, sf_dir).agg(F.max("us").alias("now"))
+    one = F.broadcast(now.withColumn("one", F.lit(1)))
+    return events(spark, sf_dir).withColumn("one", F.lit(1)).join(one, "one").drop("one")
 
 
 @query(f"SELECT user_id, count(*) AS released, max(epoch_us(ts)) AS newest FROM events WHERE {NOW_SQL} - epoch_us(ts) >= 86400000000 GROUP BY user_id")
@@ -192,9 +193,7 @@ WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number()
 SELECT event_id, user_id, allowed FROM w""")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two events a user in a window of a week that the user's first event opens."""
-    times = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("us", "event_id"))).alias("e"))
-    flags = times.withColumn("allowed", jobs.allowed_requests(F.col("e.us"), 2, 604_800))
-    return flags.select("user_id", F.explode(F.arrays_zip(F.col("e.event_id").alias("event_id"), F.col("allowed").alias("allowed"))).alias("x")).select("x.event_id", "user_id", "x.allowed")
+    return jobs.limited_requests(events(spark, sf_dir), "user_id", "us", "event_id", 2, 604_800).select("event_id", "user_id", "allowed")
 
 
 @query("""

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import hashing, text
-from tracewell.functions.classify import output_failed
+from tracewell.functions.classify import output_failed, skill_name
 from tracewell.operators.carry import forward_fill, held_tokens
 
-from .lines import base_name, rollout_session
+from .lines import base_name, dialect_of, rollout_session
 
 SCHEMA_VERSION = 1
 METRICS = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
@@ -77,9 +77,9 @@ def records_b(lines: DataFrame) -> DataFrame:
     p = F.col("payload")
     meta, context = F.col("type") == "session_meta", F.col("type") == "turn_context"
     rows = rows.withColumn("turn_index", (F.row_number().over(Window.partitionBy("path").orderBy("offset")) - 1).cast("int")).withColumns({
-        "session_id": F.when(meta, p["id"]), "cwd": F.when(meta | context, p["cwd"]), "git_branch": F.when(meta, p["git"]["branch"]), "model": F.when(context, p["model"]),
+        "session_id": F.when(meta, p["id"]), "cwd": F.when(meta | context, p["cwd"]), "git_branch": F.when(meta, p["git"]["branch"]), "model": F.when(context, p["model"]), "turn_id": p["turn_id"],
     })
-    rows = forward_fill(rows, ["session_id", "cwd", "git_branch", "model"], ["path"], ["offset"])
+    rows = forward_fill(rows, ["session_id", "cwd", "git_branch", "model", "turn_id"], ["path"], ["offset"])
     return rows.withColumn("session_id", F.coalesce("session_id", rollout_session(F.col("path"))))
 
 
@@ -153,11 +153,8 @@ def events_b(lines: DataFrame, salt: bytes) -> DataFrame:
     amounts = {
         "input_tokens": used["input_tokens"], "output_tokens": F.coalesce(used["output_tokens"], F.lit(0)) + F.coalesce(used["reasoning_output_tokens"], F.lit(0)), "cache_read_input_tokens": used["cached_input_tokens"],
     }
-    held = None
-    for name, amount in amounts.items():
-        one = held_tokens(r, F.col("is_assistant"), F.col("is_user") | (F.col("type") == "session_meta"), F.when(counted, F.coalesce(amount, F.lit(0))), ["path"], ["offset"])
-        one = one.select("path", "offset", F.col("tokens").alias(name))
-        held = one if held is None else held.join(one, ["path", "offset"])
+    sums = {name: F.when(counted, F.coalesce(amount, F.lit(0))) for name, amount in amounts.items()}
+    held = held_tokens(r, F.col("is_assistant"), F.col("is_user") | (F.col("type") == "session_meta"), sums, ["path"], ["offset"]).drop("seq")
     rows = r.where("event is not null").join(held, ["path", "offset"], "left")
     stamp = F.when(F.col("type") == "session_meta", F.coalesce(F.nullif(p["timestamp"], F.lit("")), F.col("timestamp"))).otherwise(F.col("timestamp"))
     known = F.col("event").isin("session_start", "user_prompt", "assistant_message", "tool_call", "tool_result")
@@ -182,8 +179,36 @@ _VARIANTS = "array<struct<" + ",".join(f"{k}:{t}" for k, t in _VARIANT.items())
 
 
 def _require(salt: bytes) -> None:
-    if not salt:
-        raise ValueError("a salt is needed: without one no event may leave")
+    if len(salt or b"") < hashing.LEAST_SALT_BYTES:
+        raise ValueError(f"a salt of {hashing.LEAST_SALT_BYTES} bytes or more is needed: without one no event may leave")
+
+
+def by_dialect(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines of dialect A's files and of dialect B's."""
+    told = lines.join(dialect_of(lines), "path")
+    return tuple(told.where(F.col("dialect") == d).drop("dialect") for d in ("a", "b"))
+
+
+def events(lines: DataFrame, salt: bytes) -> DataFrame:
+    """Normalized events of files of either dialect, told apart by their first lines."""
+    a, b = by_dialect(lines)
+    return events_a(a, salt).unionByName(events_b(b, salt))
+
+
+def facts(lines: DataFrame) -> DataFrame:
+    """What happened in sessions of either dialect."""
+    a, b = by_dialect(lines)
+    return facts_a(a).unionByName(facts_b(b))
+
+
+def judge_turns(lines: DataFrame) -> DataFrame:
+    """(path, offset, role, text): the turns a judge may see, of either dialect.
+
+    Records that hold tool results and injected skills are left out, and so are texts without letters.
+    """
+    rows = facts(lines).where("kind in ('user', 'assistant')")
+    text_ = F.coalesce("body", F.lit(""))
+    return rows.where((text.strip(text_) != "") & skill_name(text_).isNull()).select("path", "offset", F.col("kind").alias("role"), text_.alias("text"))
 
 
 FACT = ["path", "offset", "place", "kind", "id", "name", "body", "is_error"]

@@ -9,14 +9,47 @@ from pyspark.sql import functions as F
 MOST_LINE_BYTES = 16 << 20
 
 
-def session_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, content) of each file below root whose name fits; pattern 'rollout-*.jsonl' finds dialect B."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(root)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def line_kind(line: Column, n_bytes: Column) -> Column:
+    """'line', 'blank' or 'oversized'."""
+    return F.when(n_bytes > MOST_LINE_BYTES, "oversized").when(F.btrim(line, F.lit(" \t\r\n")) == "", "blank").otherwise("line")
+
+
+def scan_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", cursors: DataFrame | None = None) -> DataFrame:
+    """(path, offset, line_no, line, kind) of the files below root whose names fit, at any depth.
+
+    Pattern 'rollout-*.jsonl' finds dialect B.  offset is the byte at which a line begins in its file, also
+    where bytes aren't valid UTF-8.  kind is 'line', 'blank' or 'oversized'; the text of an oversized line
+    is dropped.  A last line without line end is not read yet.  line_no counts lines of kind 'line' from 0,
+    as turn indexes do.  cursors (path, cursor) give the byte, at a line's beginning, from which a file is
+    read on; lines are then counted from there.
+
+    Spark cuts large files into blocks at line ends.  Sums of each block give where it begins, and sums inside
+    a block the places of its lines, so a task holds one line at a time and sorts one block.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
+    size = F.octet_length("value").cast("long")
+    rows = files.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("at"),
+        size.alias("n_bytes"), line_kind(F.col("value"), size).alias("kind"), F.when(size <= MOST_LINE_BYTES, F.col("value")).alias("line"),
+    )
+    counted = F.when(F.col("kind") == "line", 1).otherwise(0)
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("path", "block").agg(F.sum(F.col("n_bytes") + 1).alias("b"), F.sum(counted).alias("n"))
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("first_byte"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_line"))
+    before = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"bytes_before": F.coalesce(F.sum(F.col("n_bytes") + 1).over(before), F.lit(0)), "lines_before": F.coalesce(F.sum(counted).over(before), F.lit(0))})
+    placed = rows.join(blocks, ["path", "block"]).select(
+        "path", (F.col("first_byte") + F.col("bytes_before")).alias("offset"), (F.col("first_line") + F.col("lines_before")).alias("line_no"), "line", "kind", "n_bytes", "file_size"
+    ).where("offset + n_bytes < file_size")
+    if cursors is not None:
+        placed = placed.join(cursors.select("path", "cursor"), "path", "left").where("offset >= coalesce(cursor, 0)")
+        starts = placed.groupBy("path").agg(F.min("line_no").alias("start"))
+        placed = placed.join(starts, "path").withColumn("line_no", F.col("line_no") - F.col("start"))
+    return placed.select("path", "offset", F.col("line_no").cast("int"), "line", "kind")
 
 
 def split_lines(files: DataFrame, cursor: Column | None = None) -> DataFrame:
-    """(path, offset, line_no, line, kind) of files (path, content), from each file's cursor on.
+    """scan_lines() of files that are rows already (path, content), valid UTF-8 each, from each file's cursor on.
 
     offset is the byte at which a line begins.  kind is 'line', 'blank' or 'oversized'; a last line
     without line end is not read yet.  line_no counts lines of kind 'line' from 0, as turn indexes
@@ -28,8 +61,7 @@ def split_lines(files: DataFrame, cursor: Column | None = None) -> DataFrame:
     rows = files.select("path", begin.cast("long").alias("begin"), F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("at", "line"))
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.col("begin") + F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))
-    kind = F.when(F.octet_length("line") > MOST_LINE_BYTES, "oversized").when(F.btrim("line", F.lit(" \t\r\n")) == "", "blank").otherwise("line")
-    rows = rows.withColumn("kind", kind)
+    rows = rows.withColumn("kind", line_kind(F.col("line"), F.octet_length("line")))
     number = F.coalesce(F.sum(F.when(F.col("kind") == "line", 1).otherwise(0)).over(before), F.lit(0))
     return rows.select("path", "offset", number.cast("int").alias("line_no"), "line", "kind")
 

@@ -27,6 +27,10 @@ def write_snapshots(rows: DataFrame, path: str, key: str = "session_id") -> None
 
 
 def write_tasks(tasks: DataFrame, path: str) -> None:
-    """Write published tasks as JSON below the first two digits of their ids."""
-    placed = tasks.withColumn("prefix", F.split(corpus_path(F.col("task_id")), "/")[2])
-    placed.repartition("prefix").write.mode("append").partitionBy("prefix").json(path)
+    """Write published tasks as JSON below path, a folder a task named as corpus_path() names its file.
+
+    A task that is written again takes its earlier version's place.
+    """
+    file = F.split(corpus_path(F.col("task_id")), "/")
+    placed = tasks.withColumns({"prefix": file[2], "task": F.regexp_replace(file[3], r"\.json$", "")})
+    placed.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "task").json(f"{path.rstrip('/')}/tasks/sha256")

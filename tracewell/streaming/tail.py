@@ -10,6 +10,8 @@ from fnmatch import fnmatch
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tracewell.sources.lines import MOST_LINE_BYTES
+
 LINE = StructType([StructField("path", StringType()), StructField("offset", LongType()), StructField("line", StringType())])
 
 
@@ -48,22 +50,29 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         before = getattr(self, "_latest", {})
-        now = {p: last_line_end(p, before.get(p, 0), os.path.getsize(p)) for p in self.files()}
+        sizes = {p: os.path.getsize(p) for p in self.files()}
+        # A file that shrank was written anew and is read from its beginning.
+        now = {p: last_line_end(p, before.get(p, 0) if size >= before.get(p, 0) else 0, size) for p, size in sizes.items()}
         self._latest = now
         return {"files": json.dumps(now)}
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        return [Piece(p, before.get(p, 0), e) for p, e in sorted(now.items()) if e > before.get(p, 0)]
+        return [Piece(p, before.get(p, 0) if e > before.get(p, 0) else 0, e) for p, e in sorted(now.items()) if e != before.get(p, 0)]
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
             f.seek(partition.begin)
             at = partition.begin
             while at < partition.end:
-                line = f.readline()
-                yield partition.path, at, line.rstrip(b"\n").decode("utf-8", "replace")
+                begin, line = at, f.readline(MOST_LINE_BYTES + 1)
                 at += len(line)
+                if not line.endswith(b"\n"):  # too long: skipped in steps, never held whole
+                    while not (rest := f.readline(1 << 20)).endswith(b"\n") and rest:
+                        at += len(rest)
+                    at += len(rest)
+                elif line.strip(b" \t\r\n"):
+                    yield partition.path, begin, line[:-1].decode("utf-8", "replace")
 
     def commit(self, end: dict) -> None:
         """Places are in the query's checkpoint; there is nothing else to keep."""
@@ -73,7 +82,8 @@ class TailSource(DataSource):
     """spark.readStream.format('session_tail').option('pattern', ...).load(folder): (path, offset, line).
 
     The folder has to be mounted on every executor.  A line is read once it ends, so nothing is
-    read twice and an unfinished line waits.  The checkpoint keeps every file's place.
+    read twice and an unfinished line waits.  Blank lines and those over 16 MiB are passed over.  The
+    checkpoint keeps every file's place.
     """
 
     @classmethod
