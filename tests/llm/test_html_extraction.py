@@ -62,3 +62,53 @@ def test_edges(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (1, None, "", "t"), (2, "u", "<article>" + "<p>Ein Satz, der zählt.\n und\tmehr.</p>" * 3000, "t")], "page_id long, url string, html string, text string")
     rows = sorted((r.page_id, len(r.text), r.n_chars) for r in extract(pages).collect())
     assert rows == [(1, 0, 0), (1, 0, 0), (2, 3000 * 31 - 1, 3000 * 31 - 1)] and extract(pages.limit(0)).collect() == []
+
+
+def test_the_cut_decides_where_blocks_alone_mislead():
+    from tracewell.llm.html_extraction import labelled, main_text
+
+    long = "A sentence of the article, with some words in it. " * 4
+    one = " ".join(long.split())
+    # Neither an article element nor telling classes: by themselves the short ones lean to boilerplate.
+    page = f"<div><a href=a>Home</a> <a href=b>News</a></div><div><h1>All of it</h1><p>{long}</p><p>Yes</p><p>{long}</p><p>Read <a href=c>this line</a> too</p><p>{long}</p></div><div>Imprint</div>"
+    blocks, leans, kept = labelled(page)
+    assert [b.text for b, x, k in zip(blocks, leans, kept) if k and x <= 0][-2:] == ["Yes", "Read this line too"]
+    assert main_text(page) == "\n".join(["All of it", one, "Yes", one, "Read this line too", one])
+    # A lone sentence between menu entries is outvoted.
+    menu = "<li><a href=x>Some menu entry</a></li>" * 5
+    notice = f"<div><p>{long}</p><p>{long}</p></div><ul>{menu}<li>We are glad that you have come to see us here, friend.</li>{menu}</ul>"
+    assert main_text(notice) == one + "\n" + one
+
+
+def test_pages_without_telling_elements():
+    """Article, menu and footer as plain divisions: the cut against labels by each block's sign."""
+    import pyarrow.parquet as pq
+
+    from tracewell.llm.html_extraction import labelled
+
+    flips = right = sign_right = total = 0
+    for page in pq.read_table(f"{MEDIUM}/pages.parquet", columns=["html"]).column(0).to_pylist():
+        inside = [b.text for b in labelled(page)[0] if b.owner.content]
+        plain = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page).replace(' class="ad"', "")
+        blocks, leans, kept = labelled(plain)
+        truth = [b.text in inside for b in blocks]
+        flips += sum(k != (x > 0) for x, k in zip(leans, kept))
+        right, sign_right, total = right + sum(k == t for k, t in zip(kept, truth)), sign_right + sum((x > 0) == t for x, t in zip(leans, truth)), total + len(blocks)
+    print(f"{total} blocks, {flips} flipped by the cut; right: {right / total:.4f} with it, {sign_right / total:.4f} without")
+    assert flips > 100 and right / total > max(sign_right / total + 0.03, 0.87)
+
+
+def test_broken_tags_and_deep_nesting():
+    import time
+
+    from tracewell.llm.html_extraction import main_text
+
+    long = "A sentence of the article, with some words in it. " * 4
+    one = " ".join(long.split())
+    assert main_text(f'<article><p>{long}<a href="x>link</a> end.</p><p>{long}</p></article>') == f"{one} link end.\n{one}"
+    assert main_text(f'<article><p>{long}<a href="x>link</a> and <a href="y">two</a>.</p></article>') == f"{one} link and two."
+    assert main_text(f'<article><p title="a > b" class=\'c > d\'>{long}</p><p x="1"y="2">{long}</p></article>') == f"{one}\n{one}"
+    began = time.time()
+    deep = "<div>" * 20_000 + f"<p>{long}</p>" * 300 + "</span>" * 20_000 + "</div>" * 20_000
+    assert main_text("<article>" + deep) == "\n".join([one] * 300)
+    assert time.time() - began < 20

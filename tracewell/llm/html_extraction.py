@@ -1,10 +1,10 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into text blocks.  A linear classifier over a block's text and surroundings gives
-its cost of being called content or boilerplate, the terminal capacities; blocks that follow each
-other, and more so blocks of one parent element, are tied by smoothness edges.  The minimum cut
-labels all blocks of the page at once, so a short paragraph between long ones stays and a lone
-long notice between menus goes.
+its cost of being called content or boilerplate, the terminal capacities.  Blocks that follow each
+other are tied by smoothness edges that weaken with their distance in the DOM, and so are the nearest
+blocks of one parent element.  The minimum cut labels all blocks of the page at once, so a short
+paragraph, item or link between long paragraphs stays and a lone long notice between menus goes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,25 +36,45 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 #: The classifier's weights, and the smoothness of neighbours and of neighbours of one parent.
-BIAS, LENGTH_WEIGHT, LINK_WEIGHT, SENTENCE_WEIGHT, HEADING_WEIGHT, ITEM_WEIGHT = -1.6, 0.55, -5.0, 0.8, 1.2, -0.6
-INSIDE_CONTENT, OUTSIDE_CONTENT, INSIDE_BOILER, CONTENT_NAME = 6.0, -8.0, -16.0, 1.5
-NEXT_TO, SAME_PARENT = 0.4, 1.2
+BIAS, LENGTH_WEIGHT, LINK_WEIGHT, SENTENCE_WEIGHT, HEADING_WEIGHT, ITEM_WEIGHT = -1.6, 0.55, -3.5, 0.8, 1.2, -0.6
+INSIDE_CONTENT, OUTSIDE_CONTENT, INSIDE_BOILER, CONTENT_NAME = 2.4, -8.0, -11.0, 1.5
+#: Edges: between neighbours of one parent, between other blocks of one parent, the part of an edge that is left across
+#: an article's or a menu's border, and the steps in the DOM from which blocks aren't tied.
+NEXT_TO, SAME_PARENT, ACROSS, FAR = 1.4, 1.0, 0.25, 7
 #: Characters inside article or main elements from which a page counts as marking its content.
 MARKED_CHARS = 80
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+# A quoted value ends at a quote before white space or the tag's end; a tag with a quote that never closes so ends at its first >.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:(?P<most>(?:\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^>\"'])*)(?:>|\Z)|(?P<rest>[^>]*)(?:>|\Z))",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SENTENCE = re.compile(r"[.!?:;,…。](?:\s|$)")
 
 
 class Element:
-    """An open element: its name, its place among all elements, and what its blocks inherit."""
+    """An open element: its name, parent and depth, and what its blocks inherit."""
+
+    __slots__ = ("name", "parent", "depth", "content", "boiler", "named", "dropped", "link", "item")
+
+    def __init__(self, name: str, parent: Element | None, content: bool, boiler: bool, named: bool, dropped: bool, link: bool, item: bool):
+        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
+        self.content, self.boiler, self.named, self.dropped, self.link, self.item = content, boiler, named, dropped, link, item
 
-    __slots__ = ("name", "number", "parent", "content", "boiler", "named", "dropped", "link")
 
-    def __init__(self, name: str, number: int, parent: int, content: bool, boiler: bool, named: bool, dropped: bool, link: bool):
-        self.name, self.number, self.parent, self.content, self.boiler, self.named, self.dropped, self.link = name, number, parent, content, boiler, named, dropped, link
+def steps_between(a: Element, b: Element) -> int:
+    """Steps from one element up and down to another, FAR if they are that many or more."""
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
 class Block:
@@ -73,7 +93,7 @@ def names_boiler(label: str) -> bool:
     return bool(hits) and not (hits == {"header"} and bool(words & CONTENT_WORDS))
 
 
-def opened(name: str, attributes: str, number: int, parent: Element) -> Element:
+def opened(name: str, attributes: str, parent: Element) -> Element:
     """The element of a start tag below parent."""
     content, boiler, named, dropped = parent.content, parent.boiler, parent.named, parent.dropped or name in DROPPED_TAGS
     if name in CONTENT_TAGS:
@@ -92,13 +112,14 @@ def opened(name: str, attributes: str, number: int, parent: Element) -> Element:
         style = found.get("style", "").replace(" ", "").lower()
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
             dropped = True
-    return Element(name, number, parent.number, content, boiler, named, dropped, parent.link or name == "a")
+    return Element(name, parent, content, boiler, named, dropped, parent.link or name == "a", parent.item or name == "li")
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, outside of dropped elements."""
-    root = Element("", 0, 0, False, False, False, False, False)
-    stack, blocks, number = [root], [], 0
+    root = Element("", None, False, False, False, False, False, False)
+    stack, blocks = [root], []
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
 
@@ -108,9 +129,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             if text:
                 owner = next(e for e in reversed(stack) if e.name in BLOCK_TAGS or e is root)
-                names = [e.name for e in stack]
-                heading = any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n in names[-4:])
-                blocks.append(Block(text, owner, linked / len(text), heading, "li" in names))
+                heading = any(e.name in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack[-4:])
+                blocks.append(Block(text, owner, linked / len(text), heading, stack[-1].item))
             parts.clear()
         linked = 0
 
@@ -123,6 +143,10 @@ def blocks_of(page: str) -> list[Block]:
             if top.link:
                 linked += len(text.strip())
 
+    def close_from(k: int) -> None:
+        open_names.subtract(e.name for e in stack[k:])
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -132,29 +156,29 @@ def blocks_of(page: str) -> list[Block]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if not m["name"]:
             if m[0].startswith("<![CDATA["):
                 add(m[0][9:].removesuffix("]]>"))
             continue
-        name = m[2].lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+        name, attributes = m["name"].lower(), m["most"] if m["most"] is not None else m["rest"]
+        if m["end"]:
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0) if open_names[name] else 0
             if name in BLOCK_TAGS:
                 close_block()
                 if k:
-                    del stack[k:]
+                    close_from(k)
             elif k and not any(e.name in BLOCK_TAGS for e in stack[k + 1 :]):
-                del stack[k:]
+                close_from(k)
             continue
         if name in BLOCK_TAGS:
             close_block()
-            if name != "head" and len(stack) > 1 and any(e.name == "head" for e in stack):
-                del stack[next(k for k, e in enumerate(stack) if e.name == "head") :]
+            if name != "head" and open_names["head"]:
+                close_from(next(k for k, e in enumerate(stack) if e.name == "head"))
             # A paragraph ends where a block begins; items and cells end at the next of their kind.
             closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p" or stack[k].name in closes:
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k].name in BLOCK_TAGS:
                     break
@@ -164,10 +188,10 @@ def blocks_of(page: str) -> list[Block]:
             close = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if name in VOID_TAGS or m[3].rstrip().endswith("/") and name not in BLOCK_TAGS:
+        if name in VOID_TAGS or attributes.rstrip().endswith("/") and name not in BLOCK_TAGS:
             continue
-        number += 1
-        stack.append(opened(name, m[3], number, stack[-1]))
+        stack.append(opened(name, attributes, stack[-1]))
+        open_names[name] += 1
     close_block()
     return blocks
 
@@ -175,7 +199,7 @@ def blocks_of(page: str) -> list[Block]:
 def leaning(block: Block, marked: bool) -> float:
     """The classifier: log odds of a block being content; marked if the page marks its content."""
     size = len(block.text)
-    x = BIAS + LENGTH_WEIGHT * math.log1p(size / 8) + LINK_WEIGHT * min(block.link_share, 1.0)
+    x = BIAS + LENGTH_WEIGHT * math.log1p(size / 8) + LINK_WEIGHT * min(block.link_share, 1.0) * (0.5 if block.owner.content else 1.0)
     x += SENTENCE_WEIGHT * min(len(_SENTENCE.findall(block.text)), 4) / 2
     x += HEADING_WEIGHT * block.heading + ITEM_WEIGHT * block.item
     x += CONTENT_NAME * block.owner.named
@@ -245,23 +269,29 @@ def minimum_cut(lean: list[float], edges: list[tuple[int, int, float]]) -> list[
     return [bool(x) for x in label]
 
 
-def main_text(page: str | None) -> str:
-    """The page's content blocks joined by line ends; empty for null, empty or textless pages."""
+def labelled(page: str | None) -> tuple[list[Block], list[float], list[bool]]:
+    """A page's blocks, how each leans by itself, and whether the cut calls it content."""
     blocks = blocks_of(page) if page else []
-    if not blocks:
-        return ""
     edges, last = [], {}
     for k, b in enumerate(blocks):
         if k:
             a = blocks[k - 1]
-            # Blocks on two sides of an article's or a menu's edge are not near each other in the DOM.
-            if (a.owner.content, a.owner.boiler) == (b.owner.content, b.owner.boiler):
-                edges.append((k - 1, k, NEXT_TO))
-        if b.owner.parent in last:
-            edges.append((last[b.owner.parent], k, SAME_PARENT))
-        last[b.owner.parent] = k
+            steps = steps_between(a.owner, b.owner)
+            if steps < FAR:
+                across = (a.owner.content, a.owner.boiler) != (b.owner.content, b.owner.boiler)
+                edges.append((k - 1, k, NEXT_TO / max(steps - 1, 1) ** 2 * (ACROSS if across else 1.0)))
+        family = id(b.owner.parent), b.owner.content, b.owner.boiler
+        if family in last:
+            edges.append((last[family], k, SAME_PARENT))
+        last[family] = k
     marked = sum(len(b.text) for b in blocks if b.owner.content and not b.owner.boiler) >= MARKED_CHARS
-    kept = minimum_cut([leaning(b, marked) for b in blocks], edges)
+    leans = [leaning(b, marked) for b in blocks]
+    return blocks, leans, minimum_cut(leans, edges)
+
+
+def main_text(page: str | None) -> str:
+    """The page's content blocks joined by line ends; empty for null, empty or textless pages."""
+    blocks, _, kept = labelled(page)
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
