@@ -27,8 +27,8 @@ from .shared import BROADCAST_LIMIT_BYTES, connected_components, materialize, si
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
-#: Bytes of a stored shingle: the top 40 bits of its hash.
-WIDTH = 5
+#: Bytes of a stored shingle, which is a 64-bit hash.
+WIDTH = 8
 #: Vertical fragments in which a pair's overlap is counted.
 OVERLAP_FRAGMENTS = 4
 #: Prefix shingles of a candidate fragment, on average.
@@ -43,16 +43,9 @@ STAR_PERCENT = 40
 GROUP_PARTNERS = 2_000
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted 40-bit integers, five bytes each, most significant first."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]).tobytes()
-
-
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, 8 - WIDTH :] = raw
-    return wide.view(">u8").reshape(-1).astype(np.uint64)
+    """A packed set, sorted."""
+    return np.frombuffer(data, "<u8")
 
 
 def shingle_table(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -66,7 +59,7 @@ def shingle_table(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                 found = tb.shingle_sets(data[part[0] : part[-1]], part - part[0], size)
                 key_a = [int(x.sum(dtype=np.uint64).view(np.int64)) for x in found]
                 key_b = [int(tb.mixed(x ^ tb.U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for x in found]
-                packed = [pack(np.unique(x >> tb.U64(64 - 8 * WIDTH))) for x in found]
+                packed = [x.astype("<u8").tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int64()), pa.array(key_a, pa.int64()), pa.array(key_b, pa.int64()), pa.array(packed, pa.binary())],
                     ["doc_id", "n", "key_a", "key_b", "shingles"],
@@ -195,7 +188,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = materialize(wanted, "ngram-wanted")
     if 24 * wanted.count() <= BROADCAST_LIMIT_BYTES:
         wanted = F.broadcast(wanted)
-    cut = (1 << 8 * WIDTH) // OVERLAP_FRAGMENTS
+    cut = (1 << 64) // OVERLAP_FRAGMENTS
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.arange(1, OVERLAP_FRAGMENTS, dtype=np.uint64) * np.uint64(cut)
