@@ -15,6 +15,7 @@ from .shared import SPACE_CLASS, materialize, sized
 
 #: The symbols counted, and frequent function words of the languages.
 SYMBOLS = r"[#*$%&|<>]"
+PUNCTUATION = r"[.,;:!?'\"()\[\]{}\-_/\\@=+~^`]"
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "was", "on", "are", "with", "as", "be", "at", "it", "by", "this", "an"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch"],
@@ -43,28 +44,31 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     n_chars = F.length("t")
-    # Every translate below removes characters of a class; what goes missing is the class's count.
+    every = sorted({w for words in COMMON_WORDS.values() for w in words})
+    def without(runs: str) -> Column:
+        # Runs of a class taken out; the length that goes missing is the class's count.
+        return F.length(F.regexp_replace("t", runs, ""))
+
     rows = docs.select("doc_id", "lang", text.alias("t")).select(
         "doc_id", "lang",
-        F.filter(F.split("t", SPACE_CLASS), lambda w: w != "").alias("w"),
-        F.filter(F.split("t", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "").alias("lines"),
+        F.array_remove(F.split("t", SPACE_CLASS), "").alias("w"),
+        F.filter(F.split(F.lower("t"), SPACE_CLASS), lambda w: w.isin(every)).alias("common"),
+        F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         n_chars.cast("long").alias("chars"),
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (n_chars - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (n_chars - F.length(F.translate("t", "0123456789", ""))).cast("long").alias("n_digits"),
-        (n_chars - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (n_chars - F.length(F.translate("t", ".,;:!?'\"()[]{}-_/\\@=+~^`", ""))).cast("long").alias("n_punct"),
+        without(SPACE_CLASS).cast("long").alias("word_chars"),
+        (n_chars - without(SYMBOLS + "+")).cast("long").alias("n_symbols"),
+        (n_chars - without("[0-9]+")).cast("long").alias("n_digits"),
+        (n_chars - without("[A-Z]+")).cast("long").alias("n_upper"),
+        (n_chars - without(PUNCTUATION + "+")).cast("long").alias("n_punct"),
     )
     stop = F.lit(None)
     for name, words in COMMON_WORDS.items():
         stop = F.when(F.col("lang") == name, F.array(*map(F.lit, words))).otherwise(stop)
     stop = F.coalesce(stop, F.array(*map(F.lit, COMMON_WORDS["en"])))
-    every = sorted({w for words in COMMON_WORDS.values() for w in words})
     rows = rows.select(
         "*",
         F.size("w").cast("long").alias("n_words"),
         F.when(F.size("w") >= 3, F.transform(F.slice("w", 1, F.size("w") - 2), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).alias("h"),
-        F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: x.isin(every)).alias("common"),
         stop.alias("stop"),
     )
     rows = rows.withColumn("differ", F.size(F.array_distinct("h")))
@@ -88,7 +92,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(letters, F.col("n_upper"), F.col("n_digits"), F.col("n_punct"), F.col("n_symbols"), n_space).alias("classes"),
-        F.transform("stop", lambda s: F.size(F.filter("common", lambda x: x == s)).cast("long")).alias("words_seen"),
+        # What goes missing where a word is removed is its count: no lambda runs for each word of a text.
+        F.transform("stop", lambda s: (F.size("common") - F.size(F.array_remove("common", s))).cast("long")).alias("words_seen"),
     )
 
 
