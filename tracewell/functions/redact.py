@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, MapType, StringType, StructField, Str
 
 SCRUBBER_VERSION = "redact/1"
 NOTICE = "automated redaction is best-effort and can miss secrets"
+#: Tokens that an entropy of this many bits makes secrets.
 ENTROPY_CATEGORY, ENTROPY_TOKEN, ENTROPY_LEAST = "secret.entropy", r"\b[A-Za-z0-9+/]{16,}={0,2}\b", 3.6
 
 
@@ -48,6 +49,7 @@ RULES = [
     Rule("pii.phone", r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b"),
     Rule("pii.name", r"\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b"),
 ]
+#: Fixed value: identifiers and images, which are no secrets.
 ALLOWED = r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})$|^iVBORw0KGgo[A-Za-z0-9+/=]*$"
 
 
@@ -122,11 +124,13 @@ def scrub(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
 
 
 def merge_reports(reports: DataFrame, keys: list[str]) -> DataFrame:
-    """One report for each key: spans and by_category summed over reports."""
-    spans = reports.groupBy(*keys).agg(F.sum("redactions.spans").alias("spans"))
-    parts = reports.select(*keys, F.explode("redactions.by_category").alias("category", "n")).groupBy(*keys, "category").agg(F.sum("n").alias("n"))
-    maps = parts.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("by_category"))
-    return spans.join(maps, keys, "left")
+    """One report for each key: by_category summed over reports, spans of all categories; null without any.
+
+    Reports are read once, as making them is dear.
+    """
+    parts = reports.select(*keys, F.explode_outer("redactions.by_category").alias("category", "n")).groupBy(*keys, "category").agg(F.sum("n").alias("n"))
+    entries = F.sort_array(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "n"))))
+    return parts.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("spans"), F.when(F.count("category") > 0, F.map_from_entries(entries)).alias("by_category"))
 
 
 def leak_normal(text: Column) -> Column:

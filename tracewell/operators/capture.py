@@ -93,6 +93,18 @@ def chosen(files: DataFrame, selection: str) -> DataFrame:
     return files.where(classify.any_of(spans))
 
 
+def not_chosen(files: DataFrame, selection: str) -> DataFrame:
+    """The files whose number a selection doesn't name."""
+    return files.join(chosen(files, selection).select("number"), "number", "left_anti").select(files.columns)
+
+
+def lockfile_hashes(files: DataFrame, keys: list[str], salt: bytes) -> DataFrame:
+    """(keys, lockfiles): of files (keys, name, content) a map from the known lockfiles' names to their salted hashes; a repository has few of them."""
+    known = files.where(F.col("name").isin(classify.HASHED_LOCKFILES) & (F.coalesce("content", F.lit("")) != ""))
+    entries = F.sort_array(F.collect_set(F.struct("name", hashing.salted(F.col("content"), salt).alias("hash"))))
+    return known.groupBy(*keys).agg(F.map_from_entries(entries).alias("lockfiles"))
+
+
 def corpus_path(task_id: Column) -> Column:
     """Where a published task is stored."""
     digits = F.regexp_replace(task_id, "^sha256:", "")

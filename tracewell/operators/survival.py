@@ -17,6 +17,17 @@ def lines_of(files: DataFrame, keys: list[str], content: str) -> DataFrame:
     return lines.where("line <> ''")
 
 
+def pending_lines(diff: DataFrame, untracked: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """(keys, line): the bag of a diff's added lines (keys, line) and of the lines of untracked files (keys, content)."""
+    added = diff.select(*keys, strip(F.col("line")).alias("line")).where("line <> ''")
+    return added.unionByName(lines_of(untracked, keys, content))
+
+
+def wanted_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys another table asks for; each once, however often it asks."""
+    return rows.join(wanted.select(*keys), keys, "left_semi").select(rows.columns)
+
+
 def count_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return lines.groupBy(*keys, "line").agg(F.count("*").alias("n"))
 

@@ -9,13 +9,14 @@ from tracewell.functions import classify, consent, hashing, redact, scoring, tex
 from tracewell.functions.regex import re2
 from tracewell.operators import jobs, survival
 
+from .redaction_sql import REDACT_COUNTS_SQL, REDACT_HASH_SQL
 from .registry import query, table
 
 SALT = b"0123456789abcdef0123456789abcdef"
 IPAD, OPAD = (bytes(b ^ k for b in SALT.ljust(64, b"\0")).hex() for k in (0x36, 0x5C))
 
 
-@query()
+@query(REDACT_COUNTS_SQL)
 def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of each redaction category in each document."""
     done = redact.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -24,7 +25,7 @@ def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("redactions.spans").alias("spans"), *map(number, kinds))
 
 
-@query()
+@query(REDACT_HASH_SQL)
 def redact_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of each document's scrubbed text."""
     return redact.scrub(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.sha2("text", 256).alias("sha256"))
@@ -105,7 +106,7 @@ def multiset_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wanted_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only documents that another table asks for."""
     wanted = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id")
-    return table(spark, sf_dir, "documents").join(wanted, "doc_id", "left_semi").select("doc_id", "source", "n_chars")
+    return survival.wanted_rows(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), wanted, ["doc_id"])
 
 
 @query("SELECT sha256(text) AS payload, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1")

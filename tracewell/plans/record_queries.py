@@ -41,13 +41,14 @@ def upload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.upload_counts(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repository"), status.alias("status")))
 
 
-_STATES = sorted({a for a, _ in jobs.TRANSITIONS} | {"published"})
-_EVENTS = sorted({e for _, e in jobs.TRANSITIONS})
+_STATES = ["judged", "judging", "published", "publishing", "queued"]
+_EVENTS = ["claim", "fail", "noise", "retry", "scored", "stale", "success"]
 
 
 @query(f"""
 WITH e AS (SELECT event_id, {_STATES}[(event_id % {len(_STATES)} + 1)::INTEGER] AS status, {_EVENTS}[((event_id // {len(_STATES)}) % {len(_EVENTS)} + 1)::INTEGER] AS event FROM events)
-SELECT event_id, status, event, CASE {' '.join(f"WHEN status = '{a}' AND event = '{e}' THEN '{b}'" for (a, e), b in jobs.TRANSITIONS.items())} END AS after FROM e""")
+SELECT event_id, status, event, CASE status || ' ' || event WHEN 'queued claim' THEN 'judging' WHEN 'judging scored' THEN 'judged' WHEN 'judging noise' THEN 'filtered' WHEN 'judging retry' THEN 'queued' WHEN 'judging fail' THEN 'failed' WHEN 'judging stale' THEN 'queued'
+       WHEN 'judged claim' THEN 'publishing' WHEN 'publishing success' THEN 'published' WHEN 'publishing retry' THEN 'judged' WHEN 'publishing fail' THEN 'failed' WHEN 'publishing stale' THEN 'judged' END AS after FROM e""")
 def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status after every pair of status and event."""
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
@@ -73,16 +74,16 @@ def safe_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.safe_component(F.col("url")).alias("component"))
 
 
-_TIERS = str([*consent.TIERS, ""])
+_TIERS = ["hashes_only", "prompts", "actions", "code", "full"]
 
 
 @query(f"""
-WITH t AS (SELECT doc_id, {_TIERS}[(doc_id % 6 + 1)::INTEGER] AS site, {_TIERS}[((doc_id // 6) % 6 + 1)::INTEGER] AS repo, {_TIERS}[((doc_id // 36) % 5 + 1)::INTEGER] AS most FROM documents),
+WITH t AS (SELECT doc_id, {[*_TIERS, ""]}[(doc_id % 6 + 1)::INTEGER] AS site, {[*_TIERS, ""]}[((doc_id // 6) % 6 + 1)::INTEGER] AS repo, {[*_TIERS, ""]}[((doc_id // 36) % 5 + 1)::INTEGER] AS most FROM documents),
      k AS (SELECT *, CASE WHEN repo <> '' THEN repo WHEN site <> '' THEN site ELSE 'hashes_only' END AS asked FROM t)
-SELECT doc_id, {consent.TIERS}[least(list_position({consent.TIERS}, asked), list_position({consent.TIERS}, most))] AS tier FROM k""")
+SELECT doc_id, {_TIERS}[least(list_position({_TIERS}, asked), list_position({_TIERS}, most))] AS tier FROM k""")
 def effective_consent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tier that settings and the most recorded grant come to."""
-    names = F.array(*map(F.lit, [*consent.TIERS, ""]))
+    names = F.array(*map(F.lit, [*_TIERS, ""]))
     pick = lambda n, k: F.element_at(names, (F.floor(F.col("doc_id") / n) % k + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", consent.effective(pick(36, 5), pick(1, 6), pick(6, 6)).alias("tier"))
 

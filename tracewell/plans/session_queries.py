@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions import classify, scoring, text
+from tracewell.functions import scoring, text
 from tracewell.operators import carry, conversation, jobs, latest
 
 from .registry import micros, query, table
@@ -94,8 +94,8 @@ def title_statement_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REACTION_SQL = r"""
 WITH m AS (SELECT *, coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS spoken FROM conversations)
-SELECT conv_id, turn, CASE WHEN NOT spoken THEN NULL WHEN regexp_matches(text, '%s') THEN 'correction' WHEN regexp_matches(text, '%s') THEN 'acceptance' END AS reaction
-FROM m WHERE role = 'user'""" % (classify.CORRECTION.replace("'", "''"), classify.ACCEPTANCE)
+SELECT conv_id, turn, CASE WHEN NOT spoken THEN NULL WHEN regexp_matches(text, '(?i)\b(wrong|try again|fix|failed|failing|error|broken|revert|undo|not what|doesn''?t|didn''?t|actually)\b') THEN 'correction' WHEN regexp_matches(text, '(?i)\b(lgtm|looks good|works|thank|thanks|great|perfect|ship it|nice|done)\b') THEN 'acceptance' END AS reaction
+FROM m WHERE role = 'user'"""
 
 
 @query(REACTION_SQL)
