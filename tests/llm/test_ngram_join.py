@@ -75,3 +75,37 @@ def test_no_rows(spark):
     from tracewell.llm.ngram_join import similar_documents
 
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pairs_between_parts_of_lists(spark):
+    import random
+
+    from tracewell.llm.ngram_join import crossing_pairs
+
+    r = random.Random(5)
+    rows = [(t, d, 20 + d * 7 % 90, r.choice([1, 1, 1, 2, 3, 100 + d])) for t in range(6) for d in r.sample(range(60), 25)]
+    rows += [(9, d, 80 + d % 21, 1 if d else 7) for d in range(40)]  # one document outside a large part
+    want = sorted(
+        (a[1], b[1], a[2], b[2]) for a in rows for b in rows
+        if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])
+    )
+    found = crossing_pairs(spark.createDataFrame(rows, "token long, doc long, n int, part long"))
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_near_copies_between_groups(spark):
+    import random
+
+    from tracewell.llm.ngram_join import similar_documents
+
+    r = random.Random(11)
+    bases = [[f"b{g}_{i}" for i in range(70)] for g in range(4)]
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for d in range(160):
+        words = shared + bases[d % 4][: r.choice([10, 14, 20, 70])]
+        for _ in range(r.choice([0, 1, 2, 3])):
+            words[r.randrange(len(words))] = f"x{r.randrange(400)}"
+        rows.append((d * 3 % 160, " ".join(words)))
+    found = {tuple(x) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows)

@@ -10,11 +10,13 @@ and is otherwise the order of hashes.  It is cut into fragments twice:
   apart, and the partial counts are summed per pair and held against the threshold.
 
 A second round takes the posting lists whose documents are not yet in one component and counts
-every pair between different components, so that no link between components is lost.
+every pair of fitting sizes between different components, so that no link between components is
+lost; the greatest component of a list never meets itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,8 @@ FREQUENT_LIMIT = 200_000
 COUNTED_SHINGLES = 2_000_000
 #: Percent of the shorter prefix that a pair of the first round shares; others are left to the second.
 STAR_PERCENT = 40
+#: Ratio of sizes in one band; it has to be above that of two similar sets, which is 1.25.
+SIZE_BAND = 1.3
 #: Partners of a document that are compared in one group; more are split over several.
 GROUP_PARTNERS = 2_000
 
@@ -233,6 +237,24 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.where(f"100 * overlap >= {SIMILAR_PERCENT} * (na + nb - overlap)").select("a", "b")
 
 
+def crossing_pairs(open_lists: DataFrame) -> DataFrame:
+    """(a, b, na, nb) with a < b, a row for each list (token, doc, n, part) that holds both, of pairs from different parts whose sizes fit.
+
+    A list's greatest part never meets itself: only documents outside it are one side of the join, so a
+    list makes as many pairs as it has documents times those outside its greatest part.  Both sides meet
+    by bands of size, of which sets that can be similar lie in one or in two next to each other.
+    """
+    counted = open_lists.groupBy("token", "part").agg(F.count("*").alias("docs"))
+    greatest = counted.groupBy("token").agg(F.max_by("part", F.struct("docs", "part")).alias("main"))
+    told = open_lists.join(greatest, "token").withColumn("band", F.floor(F.log("n") / math.log(SIZE_BAND)).cast("int"))
+    x = told.select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"), (F.col("part") == F.col("main")).alias("inside"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    y = told.where("part <> main").select("token", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("part").alias("py"), "band")
+    size_fits = 100 * F.least("nx", "ny") >= SIMILAR_PERCENT * F.greatest("nx", "ny")
+    met = x.join(y, ["token", "band"]).where((F.col("px") != F.col("py")) & size_fits & (F.col("inside") | (F.col("x") < F.col("y"))))
+    first = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+
 def similar_documents(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """Return (doc_id, n_shingles, component_id), a row for each row of docs.
 
@@ -289,10 +311,7 @@ def linked_sets(sets: DataFrame, total: int) -> DataFrame:
     known = lists.join(parts, lists["doc"] == parts["node"], "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("part"))
     mixed_lists = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
     open_lists = materialize(known.join(mixed_lists, "token"), "ngram-open")
-    x = open_lists.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = open_lists.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    size_fits = 100 * F.least("na", "nb") >= SIMILAR_PERCENT * F.greatest("na", "nb")
-    across = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & size_fits)
+    across = crossing_pairs(open_lists)
     # Of the set whose prefix ends first, every shared prefix shingle is in the other's prefix too, so
     # what both prefixes share and the rest of that set bound the overlap.
     shared = across.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
