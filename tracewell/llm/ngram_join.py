@@ -44,7 +44,7 @@ STAR_PERCENT = 40
 #: Ratio of sizes in one band; it has to be above that of two similar sets, which is 1.25.
 SIZE_BAND = 1.3
 #: Partners of a document that are compared in one group; more are split over several.
-GROUP_PARTNERS = 2_000
+GROUP_PARTNERS = 200
 
 
 def unpack(data: bytes) -> np.ndarray:
