@@ -62,4 +62,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT (n_words >= {q.LEAST_CLASS_WORDS} AND coalesce(cd, 0) > {q.MOST_CLASS_DISTANCE}) AND NOT (n_words >= {q.LEAST_COMMON_WORDS} AND coalesce(wd, 0) > {q.MOST_WORD_DISTANCE}) AS kept
 FROM k"""
 
-SQL = {"op2_ngram_join": NGRAM, "op6_quality_rules": QUALITY, "op8_embedding_dedup": EMBEDDINGS}
+
+def _codes(rounds: int = 2) -> str:
+    """Product codes of 16 parts and 64 entries: distance and entry of each part packed in one integer, 64 * distance + entry."""
+    nearest = """SELECT vec_id, p.part, min(64 * list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - e.x[i]) * (p.x[i] - e.x[i])))::BIGINT + k) AS m FROM p JOIN {e} e ON e.part = p.part GROUP BY ALL"""
+    steps = "\n".join(
+        f"""     a{r} AS ({nearest.format(e=f"e{r}")}),
+     s{r} AS (SELECT part, m % 64 AS k, i, count(*) AS n, sum(v)::BIGINT AS v FROM (SELECT p.part, m, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM p JOIN a{r} a ON a.vec_id = p.vec_id AND a.part = p.part) y GROUP BY ALL),
+     f{r} AS (SELECT part, k, list((v - ((v % n) + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM s{r} GROUP BY part, k),
+     e{r + 1} AS (SELECT e.part, e.k, coalesce(f.x, e.x) AS x FROM e{r} e LEFT JOIN f{r} f ON f.part = e.part AND f.k = e.k),"""
+        for r in range(rounds)
+    )
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+     p AS (SELECT vec_id, part, x[part * (len(x) // 16) + 1:(part + 1) * (len(x) // 16)] AS x FROM v, range(16) t(part)),
+     o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64),
+     e0 AS (SELECT part, k, x FROM p JOIN o ON o.vec_id = p.vec_id),
+{steps}
+     c AS ({nearest.format(e=f"e{rounds}")}),
+     r AS (SELECT c.vec_id, string_agg(format('{{:02x}}', m % 64), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM c GROUP BY c.vec_id),
+     b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, k)) AS codebooks_sha256 FROM e{rounds})
+SELECT v.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN r ON r.vec_id = v.vec_id CROSS JOIN b"""
+
+
+SPELLING = r"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) x(i)) y),
+     s AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+     u AS (SELECT run, string_split(d || ':' || run, '') AS l FROM s WHERE length(run) >= 6),
+     y AS (SELECT run, flatten(list_transform(l, lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS y FROM u),
+     h AS (SELECT run, xor(list_reduce(y, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM y CROSS JOIN t),
+     q AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+     w AS (SELECT word, count(*) AS n FROM q WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5),
+     z AS (SELECT word, n, i, length(word) AS l, left(word, i::BIGINT) || substr(word, i::BIGINT + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w) x),
+     p AS (SELECT a.word, b.word AS near FROM z a JOIN z b ON a.i = b.i AND a.l = b.l AND a.cut = b.cut AND a.word <> b.word UNION SELECT z.word, w.word FROM z JOIN w ON z.cut = w.word UNION SELECT w.word, z.word FROM z JOIN w ON z.cut = w.word),
+     b AS (SELECT p.word, count(*) AS n_near, max(w.n) AS most FROM p JOIN w ON w.word = p.near GROUP BY p.word),
+     k AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM w LEFT JOIN b ON b.word = w.word),
+     f AS (SELECT k.word, min(encode(p.near)) AS form FROM k JOIN p ON p.word = k.word JOIN w ON w.word = p.near AND w.n = k.form_n GROUP BY k.word),
+     g(word, here, steps) AS (SELECT word, word, 0 FROM w UNION ALL SELECT g.word, decode(f.form), steps + 1 FROM g JOIN f ON f.word = g.here),
+     r AS (SELECT word, arg_max(here, steps) AS root FROM g GROUP BY word)
+SELECT k.word, decode(f.form) AS form, root, n, n_near, form_n FROM k JOIN r ON r.word = k.word LEFT JOIN f ON f.word = k.word"""
+
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     k AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, unnest(list_transform(l, lambda x: translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS key FROM d),
+     f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON f.key = k.key GROUP BY k.r, k.doc_id"""
+
+SQL = {"op2_ngram_join": NGRAM, "op6_quality_rules": QUALITY, "op8_embedding_dedup": EMBEDDINGS, "op11_vector_codes": _codes(), "op12_spelling_variants": SPELLING, "op13_line_dedup": LINES}

@@ -79,8 +79,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import grouped
+
+    return grouped(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_suffix_dedup, op4_sharding, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_ngram_join, op3_suffix_dedup, op4_sharding, op5_token_files, op6_quality_rules, op7_quality_classifier, op8_embedding_dedup, op9_mixing, op10_html_extraction, op11_vector_codes, op12_spelling_variants, op13_line_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,15 +32,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back, which cuts its lineage.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df to the shared scratch folder, in a folder for each value of by if given, and read it back, which cuts its lineage.
 
     The files outlive the executors that wrote them, so a lost executor costs only its
     running tasks.  They stay until the checkpoint folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +49,7 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         folder = f"{scratch_dir(spark)}/tracewell/"
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for path in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]+$", "", f) for f in df.inputFiles()}:
             if folder.removeprefix("file:").lstrip("/") in path:
                 target = spark._jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
