@@ -2,50 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: the longest line that is read.
-MOST_LINE_BYTES = 16 << 20
+from .ranges import BLANK, MOST_LINE_BYTES, RANGE_BYTES, count_ranges, files_below, ranges_of, read_ranges
 
 
 def line_kind(line: Column, n_bytes: Column) -> Column:
-    """'line', 'blank' or 'oversized'."""
-    return F.when(n_bytes > MOST_LINE_BYTES, "oversized").when(F.btrim(line, F.lit(" \t\r\n")) == "", "blank").otherwise("line")
+    """'line', 'blank' or 'oversized' of a line without its line end."""
+    return F.when(n_bytes + 1 > MOST_LINE_BYTES, "oversized").when(F.btrim(line, F.lit(BLANK)) == "", "blank").otherwise("line")
 
 
-def scan_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", cursors: DataFrame | None = None) -> DataFrame:
-    """(path, offset, line_no, line, kind) of the files below root whose names fit, at any depth.
+def scan_lines(
+    spark: SparkSession, root: str, pattern: str = "*.jsonl", cursors: DataFrame | None = None, wanted: DataFrame | None = None, most: int = MOST_LINE_BYTES, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """(path, offset, line_no, line, kind, n_bytes) of the files below root whose names fit, at any depth.
 
     Pattern 'rollout-*.jsonl' finds dialect B.  offset is the byte at which a line begins in its file, also
     where bytes aren't valid UTF-8.  kind is 'line', 'blank' or 'oversized'; the text of an oversized line
     is dropped.  A last line without line end is not read yet.  line_no counts lines of kind 'line' from 0,
     as turn indexes do.  cursors (path, cursor) give the byte, at a line's beginning, from which a file is
-    read on; lines are then counted from there.
+    read on; lines are then counted from there, and nothing before it is read.  Of wanted (path), if given, only those files are opened.
 
-    Spark cuts large files into blocks at line ends.  Sums of each block give where it begins, and sums inside
-    a block the places of its lines, so a task holds one line at a time and sorts one block.
+    A file is read by ranges of its bytes, a task holds one line and a batch of 2 MB at a time, and no line is shuffled.
+    Only where a file has several ranges are these read once more, to count the lines before each.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
-    size = F.octet_length("value").cast("long")
-    rows = files.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("at"),
-        size.alias("n_bytes"), line_kind(F.col("value"), size).alias("kind"), F.when(size <= MOST_LINE_BYTES, F.col("value")).alias("line"),
-    )
-    counted = F.when(F.col("kind") == "line", 1).otherwise(0)
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("path", "block").agg(F.sum(F.col("n_bytes") + 1).alias("b"), F.sum(counted).alias("n"))
-    blocks = blocks.select("path", "block", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("first_byte"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first_line"))
-    before = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"bytes_before": F.coalesce(F.sum(F.col("n_bytes") + 1).over(before), F.lit(0)), "lines_before": F.coalesce(F.sum(counted).over(before), F.lit(0))})
-    placed = rows.join(blocks, ["path", "block"]).select(
-        "path", (F.col("first_byte") + F.col("bytes_before")).alias("offset"), (F.col("first_line") + F.col("lines_before")).alias("line_no"), "line", "kind", "n_bytes", "file_size"
-    ).where("offset + n_bytes < file_size")
-    if cursors is not None:
-        placed = placed.join(cursors.select("path", "cursor"), "path", "left").where("offset >= coalesce(cursor, 0)")
-        starts = placed.groupBy("path").agg(F.min("line_no").alias("start"))
-        placed = placed.join(starts, "path").withColumn("line_no", F.col("line_no") - F.col("start"))
-    return placed.select("path", "offset", F.col("line_no").cast("int"), "line", "kind")
+    ranges = ranges_of(files_below(spark, root, pattern), cursors, wanted, range_bytes)
+    found = read_ranges(ranges.repartition(F.col("path"), F.col("begin")), most)
+    several = ranges.where(F.col("begin") > F.col("first")).select("path").distinct()
+    before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = count_ranges(ranges.join(several, "path", "left_semi").repartition(F.col("path"), F.col("begin")), most)
+    earlier = counted.select("path", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    if several.isEmpty():
+        numbered = found.withColumn("line_no", F.col("number"))
+    else:
+        numbered = found.join(earlier, ["path", "begin"], "left").withColumn("line_no", F.col("number") + F.coalesce("earlier", F.lit(0)))
+    return numbered.select("path", "offset", F.col("line_no").cast("int"), "line", "kind", "n_bytes")
 
 
 def split_lines(files: DataFrame, cursor: Column | None = None) -> DataFrame:
@@ -61,19 +53,52 @@ def split_lines(files: DataFrame, cursor: Column | None = None) -> DataFrame:
     rows = files.select("path", begin.cast("long").alias("begin"), F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("at", "line"))
     before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.col("begin") + F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))
-    rows = rows.withColumn("kind", line_kind(F.col("line"), F.octet_length("line")))
+    rows = rows.withColumn("n_bytes", F.octet_length("line").cast("long"))
+    rows = rows.withColumn("kind", line_kind(F.col("line"), F.col("n_bytes")))
     number = F.coalesce(F.sum(F.when(F.col("kind") == "line", 1).otherwise(0)).over(before), F.lit(0))
-    return rows.select("path", "offset", number.cast("int").alias("line_no"), "line", "kind")
+    return rows.select("path", "offset", number.cast("int").alias("line_no"), F.when(F.col("kind") != "oversized", F.col("line")).alias("line"), "kind", "n_bytes")
+
+
+def _counts() -> list[Column]:
+    good, valid = F.col("kind") == "line", F.try_parse_json("line").isNotNull()
+    return [
+        F.count_if(good & valid).alias("emitted"), F.count_if(good & ~valid).alias("malformed"), F.count_if(F.col("kind") == "oversized").alias("oversized"), F.count_if(F.col("kind") == "blank").alias("blank"),
+    ]
 
 
 def scan_stats(lines: DataFrame) -> DataFrame:
-    """Per file: the next cursor, and numbers of lines read, malformed, oversized and blank."""
-    valid = F.try_parse_json("line").isNotNull()
-    return lines.groupBy("path").agg(
-        F.max(F.col("offset") + F.octet_length("line") + 1).alias("cursor"),
-        F.count_if((F.col("kind") == "line") & valid).alias("emitted"), F.count_if((F.col("kind") == "line") & ~valid).alias("malformed"),
-        F.count_if(F.col("kind") == "oversized").alias("oversized"), F.count_if(F.col("kind") == "blank").alias("blank"),
-    )
+    """Per file: the next cursor, after its last complete line, and numbers of lines read, malformed, oversized and blank."""
+    return lines.groupBy("path").agg(F.max(F.col("offset") + F.col("n_bytes") + 1).alias("cursor"), *_counts())
+
+
+def observed(lines: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """lines, and the scan's total counts, which come with whatever job or stream reads them and need no scan of their own."""
+    seen = Observation(name)
+    return lines.observe(seen, *_counts()), seen
+
+
+def save_cursors(stats: DataFrame, folder: str, known: DataFrame | None = None) -> None:
+    """Write the cursors of scan_stats(), and known ones of other files, as the folder's next version; a job that fails leaves the last one."""
+    rows = stats.select("path", "cursor")
+    if known is not None:
+        rows = rows.union(known.join(rows, "path", "left_anti").select("path", "cursor"))
+    rows.write.parquet(f"{folder.rstrip('/')}/version={max(_versions(stats.sparkSession, folder), default=-1) + 1}")
+
+
+def load_cursors(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, cursor) of the last complete version; none where nothing was saved.  A negative cursor is refused."""
+    versions = _versions(spark, folder)
+    if not versions:
+        return spark.createDataFrame([], "path string, cursor long")
+    found = spark.read.schema("path string, cursor long").parquet(f"{folder.rstrip('/')}/version={max(versions)}")
+    return found.select("path", F.when(F.col("cursor") < 0, F.raise_error(F.concat(F.lit("negative cursor of "), "path"))).otherwise(F.col("cursor")).cast("long").alias("cursor"))
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions whose jobs were committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [int(str(s.getPath().getParent().getName()).removeprefix("version=")) for s in found or []]
 
 
 def cursor_key(path: Column) -> Column:
