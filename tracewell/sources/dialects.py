@@ -1,7 +1,8 @@
 """The two session dialects as one table of normalized events, and as facts for signal extraction.
 
-Events have the columns of EVENT: an envelope, the variant's own columns, and (path, offset, place)
-for their order.  Texts and arguments leave this module as salted hashes only; facts keep
+Events have the columns of EVENT: an envelope, the variant's own columns, and their places.  offset is the
+record an event comes from; (path, emitted, place) is the order in which events leave: an assistant message of dialect B is
+held until a later record lets it go, so it comes after the calls that followed it.  Texts and arguments leave this module as salted hashes only; facts keep
 texts, for use inside a job.  A string value is hashed as compact JSON, so hashes of prompts that a
 file wrote with unusual escapes follow the plain spelling.
 """
@@ -27,7 +28,7 @@ content:string,arguments:string,output:string,info:struct<last_token_usage:struc
 CALLS_B = ["function_call", "custom_tool_call", "web_search_call", "tool_search_call"]
 RESULTS_B = ["function_call_output", "custom_tool_call_output", "web_search_output", "tool_search_output"]
 EVENT = [
-    "path", "offset", "place", "schema_version", "type", "harness", "git_branch", "session_id", "cwd", "model", "event_id", "ts", "turn_index", "is_subagent", *METRICS,
+    "path", "offset", "emitted", "place", "schema_version", "type", "harness", "git_branch", "session_id", "cwd", "model", "event_id", "ts", "turn_index", "is_subagent", *METRICS,
     "prompt_hash", "message_hash", "tool_call_id", "name", "arguments", "result", "reason",
 ]
 
@@ -71,18 +72,6 @@ def records_a(lines: DataFrame) -> DataFrame:
     return _records(lines, RECORD_A).withColumnRenamed("line_no", "turn_index")
 
 
-def records_b(lines: DataFrame) -> DataFrame:
-    """Dialect B's records with carried session id, folder, branch and model; turn_index counts records."""
-    rows = _records(lines, RECORD_B)
-    p = F.col("payload")
-    meta, context = F.col("type") == "session_meta", F.col("type") == "turn_context"
-    rows = rows.withColumn("turn_index", (F.row_number().over(Window.partitionBy("path").orderBy("offset")) - 1).cast("int")).withColumns({
-        "session_id": F.when(meta, p["id"]), "cwd": F.when(meta | context, p["cwd"]), "git_branch": F.when(meta, p["git"]["branch"]), "model": F.when(context, p["model"]), "turn_id": p["turn_id"],
-    })
-    rows = forward_fill(rows, ["session_id", "cwd", "git_branch", "model", "turn_id"], ["path"], ["offset"])
-    return rows.withColumn("session_id", F.coalesce("session_id", rollout_session(F.col("path"))))
-
-
 def _finished(rows: DataFrame) -> DataFrame:
     missing = {c: F.lit(None) for c in EVENT if c not in rows.columns}
     types = {"arguments": "struct<hash:string,keys:array<string>,json_type:string>", "result": "struct<hash:string,json_type:string,is_error:boolean>", "is_subagent": "boolean"}
@@ -118,22 +107,26 @@ def events_a(lines: DataFrame, salt: bytes) -> DataFrame:
     first = (F.col("record") == "assistant") & (F.col("place") == 0)
     envelope = lambda c: F.when(known, c)
     return _finished(rows.select(
-        "path", "offset", "place", "turn_index", "e.*", F.lit("claudecode").alias("harness"), envelope(F.col("gitBranch")).alias("git_branch"),
+        "path", "offset", F.col("offset").alias("emitted"), "place", "turn_index", "e.*", F.lit("claudecode").alias("harness"), envelope(F.col("gitBranch")).alias("git_branch"),
         envelope(F.coalesce(F.nullif(F.col("sessionId"), F.lit("")), base_name(F.col("path")))).alias("session_id"), envelope(F.col("cwd")).alias("cwd"),
         F.when(F.col("record") == "assistant", m["model"]).alias("model"), envelope(F.col("uuid")).alias("event_id"), envelope(text.timestamp(F.col("timestamp"))).alias("ts"),
         envelope(F.coalesce("isSidechain", F.lit(False))).alias("is_subagent"), *(F.when(first, usage[k]).alias(k) for k in METRICS),
     ))
 
 
-def events_b(lines: DataFrame, salt: bytes) -> DataFrame:
-    """Normalized events of dialect B's lines.
+#: What dialect B's records carry forward, and the columns of steps_b() that set it.
+CARRIED = {"session_id": "new_session", "cwd": "new_cwd", "git_branch": "new_branch", "model": "new_model", "turn_id": "new_turn"}
+TOKENS = ["input_tokens", "output_tokens", "cache_read_input_tokens"]
+#: Places of dialect B's events at the record by which they leave.
+LET_GO, OWN, AT_END = 0, 1, 2
 
-    Token counts are summed on the assistant message they belong to: the one held, which a user
-    message or a session's start lets go of, else the next.
-    """
+
+def steps_b(lines: DataFrame, salt: bytes) -> DataFrame:
+    """What each of dialect B's records says by itself, hashed: its event if any, what it sets and counts, and whether it lets go of a held message."""
     _require(salt)
-    r = records_b(lines)
+    r = _records(lines, RECORD_B)
     p = F.col("payload")
+    meta, context = F.col("type") == "session_meta", F.col("type") == "turn_context"
     item, kind = F.col("type") == "response_item", F.col("payload.type")
     items = F.from_json(p["content"], "array<struct<text:string,input_text:string,output_text:string>>")
     first_text = lambda b: F.coalesce(F.nullif(b["text"], F.lit("")), F.nullif(b["input_text"], F.lit("")), F.nullif(b["output_text"], F.lit("")))
@@ -142,35 +135,59 @@ def events_b(lines: DataFrame, salt: bytes) -> DataFrame:
     hashed = F.coalesce(F.when(blocky, hashing.salted_list(texts, salt)).otherwise(hashing.salted_json(raw_json(p["content"]), salt)), F.lit(""))
     message, call, result = item & (kind == "message"), item & kind.isin(CALLS_B), item & kind.isin(RESULTS_B)
     user, assistant = message & (p["role"] == "user"), message & (p["role"] == "assistant")
-    event = F.when(F.col("type") == "session_meta", "session_start").when(user, F.when(hashed != "", "user_prompt")).when(assistant, F.when(hashed != "", "assistant_message"))
+    event = F.when(meta, "session_start").when(user, F.when(hashed != "", "user_prompt")).when(assistant, F.when(hashed != "", "assistant_message"))
     event = event.when(message, F.concat(F.lit("response_item.message."), F.coalesce(p["role"], F.lit("")))).when(call, "tool_call").when(result, "tool_result")
-    event = event.when(item, F.when(kind != "reasoning", F.concat(F.lit("response_item."), kind))).when(F.col("type") == "turn_context", F.lit(None))
+    event = event.when(item, F.when(kind != "reasoning", F.concat(F.lit("response_item."), kind))).when(context, F.lit(None))
     silent = ["task_started", "task_complete", "token_count", "agent_message", "user_message"]
     event = event.when(F.col("type") == "event_msg", F.when(~kind.isin(silent), F.concat(F.lit("event_msg."), kind))).otherwise(F.col("type"))
-    r = r.withColumns({"event": event, "hash": hashed, "is_user": F.coalesce(user, F.lit(False)), "is_assistant": F.coalesce(assistant & (hashed != ""), F.lit(False))})
-    used = F.col("payload.info.last_token_usage")
-    counted = F.when((F.col("type") == "event_msg") & (kind == "token_count"), F.lit(True))
-    amounts = {
-        "input_tokens": used["input_tokens"], "output_tokens": F.coalesce(used["output_tokens"], F.lit(0)) + F.coalesce(used["reasoning_output_tokens"], F.lit(0)), "cache_read_input_tokens": used["cached_input_tokens"],
-    }
-    sums = {name: F.when(counted, F.coalesce(amount, F.lit(0))) for name, amount in amounts.items()}
-    held = held_tokens(r, F.col("is_assistant"), F.col("is_user") | (F.col("type") == "session_meta"), sums, ["path"], ["offset"]).drop("seq")
-    rows = r.where("event is not null").join(held, ["path", "offset"], "left")
-    stamp = F.when(F.col("type") == "session_meta", F.coalesce(F.nullif(p["timestamp"], F.lit("")), F.col("timestamp"))).otherwise(F.col("timestamp"))
+    used, zero = F.col("payload.info.last_token_usage"), F.lit(0)
+    amounts = dict(zip(TOKENS, (F.coalesce(used["input_tokens"], zero), F.coalesce(used["output_tokens"], zero) + F.coalesce(used["reasoning_output_tokens"], zero), F.coalesce(used["cached_input_tokens"], zero)), strict=True))
+    counted = (F.col("type") == "event_msg") & (kind == "token_count")
+    unwrapped = F.when(F.ltrim(p["arguments"]).startswith("{"), p["arguments"]).otherwise(raw_json(p["arguments"]))
+    is_assistant = F.coalesce(assistant & (hashed != ""), F.lit(False))
+    return r.select(
+        "path", "offset", event.alias("event"), F.when(user | assistant, hashed).alias("hash"), is_assistant.alias("is_assistant"), F.coalesce(user | meta, F.lit(False)).alias("is_boundary"),
+        F.when(meta, p["id"]).alias("new_session"), F.when(meta | context, p["cwd"]).alias("new_cwd"), F.when(meta, p["git"]["branch"]).alias("new_branch"), F.when(context, p["model"]).alias("new_model"), p["turn_id"].alias("new_turn"),
+        *(F.when(counted, a).cast("long").alias(n) for n, a in amounts.items()), F.when(meta, F.coalesce(F.nullif(p["timestamp"], F.lit("")), F.col("timestamp"))).otherwise(F.col("timestamp")).alias("stamp"),
+        F.when(call | result, p["call_id"]).alias("tool_call_id"), F.when(call, p["name"]).alias("name"), F.when(call, sanitized_input(unwrapped, salt)).alias("arguments"),
+        F.when(result, sanitized_result(raw_json(p["output"]), F.lit(None).cast("boolean"), salt)).alias("result"),
+    )
+
+
+def finished_b(rows: DataFrame) -> DataFrame:
+    """Events of steps that have turn_index, the carried columns, their own tokens, emitted and place."""
     known = F.col("event").isin("session_start", "user_prompt", "assistant_message", "tool_call", "tool_result")
     envelope = lambda c: F.when(known, c)
-    own = F.when(F.col("event") == "session_start", F.col("session_id")).when(F.col("event").isin("tool_call", "tool_result"), F.nullif(p["call_id"], F.lit("")))
-    unwrapped = F.when(F.ltrim(p["arguments"]).startswith("{"), p["arguments"]).otherwise(raw_json(p["arguments"]))
+    session = F.coalesce(F.nullif(F.col("session_id"), F.lit("")), rollout_session(F.col("path")))
+    own = F.when(F.col("event") == "session_start", session).otherwise(F.nullif(F.col("tool_call_id"), F.lit("")))
     return _finished(rows.select(
-        "path", "offset", F.lit(0).alias("place"), "turn_index", F.col("event").alias("type"), F.lit("codex").alias("harness"), envelope(F.col("git_branch")).alias("git_branch"), envelope(F.col("session_id")).alias("session_id"),
-        envelope(F.col("cwd")).alias("cwd"), envelope(F.col("model")).alias("model"), envelope(F.coalesce(own, F.concat_ws(":", stamp, "event", F.col("turn_index").cast("string")))).alias("event_id"),
-        envelope(text.timestamp(stamp)).alias("ts"), envelope(F.lit(False)).alias("is_subagent"), *amounts, F.when(F.col("event") == "user_prompt", F.col("hash")).alias("prompt_hash"),
-        F.when(F.col("event") == "assistant_message", F.col("hash")).alias("message_hash"), F.when(F.col("event").isin("tool_call", "tool_result"), p["call_id"]).alias("tool_call_id"),
-        F.when(F.col("event") == "tool_call", p["name"]).alias("name"), F.when(F.col("event") == "tool_call", sanitized_input(unwrapped, salt)).alias("arguments"),
-        F.when(F.col("event") == "tool_result", sanitized_result(raw_json(p["output"]), F.lit(None).cast("boolean"), salt)).alias("result"),
+        "path", "offset", "emitted", "place", "turn_index", F.col("event").alias("type"), F.lit("codex").alias("harness"), envelope(F.col("git_branch")).alias("git_branch"), envelope(session).alias("session_id"),
+        envelope(F.col("cwd")).alias("cwd"), envelope(F.col("model")).alias("model"), envelope(F.coalesce(own, F.concat_ws(":", "stamp", "event", F.col("turn_index").cast("string")))).alias("event_id"),
+        envelope(text.timestamp(F.col("stamp"))).alias("ts"), envelope(F.lit(False)).alias("is_subagent"), *TOKENS, F.when(F.col("event") == "user_prompt", F.col("hash")).alias("prompt_hash"),
+        F.when(F.col("event") == "assistant_message", F.col("hash")).alias("message_hash"), "tool_call_id", "name", "arguments", "result",
     ))
 
 
+def events_b(lines: DataFrame, salt: bytes) -> DataFrame:
+    """Normalized events of dialect B's lines.
+
+    Token counts are summed on the assistant message they belong to: the one held, which a later message of
+    the assistant, a user message or a session's start lets go of, else the next.  turn_index counts records.
+    """
+    r = steps_b(lines, salt)
+    whole = Window.partitionBy("path").orderBy("offset")
+    lets_go = F.when(F.col("is_assistant") | F.col("is_boundary"), F.col("offset"))
+    r = r.withColumns({
+        "turn_index": (F.row_number().over(whole) - 1).cast("int"), "let_go": F.min(lets_go).over(whole.rowsBetween(1, Window.unboundedFollowing)), "last": F.max("offset").over(whole.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    r = forward_fill(r.withColumnsRenamed({v: k for k, v in CARRIED.items()}), list(CARRIED), ["path"], ["offset"])
+    held = held_tokens(r, F.col("is_assistant"), F.col("is_boundary"), {n: F.col(n) for n in TOKENS}, ["path"], ["offset"]).drop("seq")
+    rows = r.drop(*TOKENS).where("event is not null").join(held, ["path", "offset"], "left")
+    message = F.col("event") == "assistant_message"
+    place = F.when(message, F.when(F.col("let_go").isNull(), AT_END).otherwise(LET_GO)).otherwise(OWN)
+    return finished_b(rows.withColumns({"emitted": F.when(message, F.coalesce("let_go", "last")).otherwise(F.col("offset")), "place": place}))
+
+
 _VARIANT = {
     "type": "string", "prompt_hash": "string", "message_hash": "string", "tool_call_id": "string", "name": "string",
     "arguments": "struct<hash:string,keys:array<string>,json_type:string>", "result": "struct<hash:string,json_type:string,is_error:boolean>", "reason": "string",
