@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from tracewell.functions import classify, scoring, text
+from tracewell.functions.rawjson import file_names
 from tracewell.functions.regex import re2
 
 from .carry import last_result_per_call, seen_before
 
-#: Keys of file names in a call's input, and patch headers.
-FILE_KEYS = {"file", "path", "file_path", "filename"}
-PATCH_FILE = re.compile(r"^\*\*\* (?:Add|Update|Delete) File: (.+)$", re.M)
-
 
 def session_fold(events: DataFrame) -> DataFrame:
     """One row a session file: model, token sums, counts by kind, errors, and duration in ms."""
@@ -38,37 +30,6 @@ def is_scorable(fold: DataFrame) -> DataFrame:
     return fold.where("tool_calls > 0 or turns > 0 or input_tokens > 0")
 
 
-def _paths(body: str | None) -> list[str]:
-    """File names in a call's input: under known keys at any depth, and in patch headers of any string."""
-    try:
-        value = json.loads(body or "")
-    except ValueError:
-        value = body or ""
-    if isinstance(value, str):
-        try:
-            value = json.loads(value)
-        except ValueError:
-            pass
-    found: dict[str, None] = {}
-    todo = [(value, "")]
-    while todo:
-        v, key = todo.pop()
-        if isinstance(v, dict):
-            todo.extend((x, k.lower()) for k, x in reversed(v.items()))
-        elif isinstance(v, list):
-            todo.extend((x, key) for x in reversed(v))
-        elif isinstance(v, str):
-            if key in FILE_KEYS:
-                found[v] = None
-            found.update(dict.fromkeys(PATCH_FILE.findall(v)))
-    return list(found)
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def file_paths(body: pd.Series) -> pd.Series:
-    return body.map(_paths)
-
-
 def outcome_signals(facts: DataFrame) -> DataFrame:
     """One row a session file of what its facts say: verification, landing, termination, turns, scope.
 
@@ -96,8 +57,8 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
         F.count_if("land").alias("landings"), F.max(F.col("land") & ok).alias("land_ok"), F.max(F.col("land") & ~F.col("answered")).alias("land_open"),
     )
 
-    files = rows.where("edit").withColumn("files", file_paths("body"))
-    files = files.withColumn("files", F.when(F.size("files") > 0, F.col("files")).otherwise(file_paths(F.coalesce("command", F.lit("")))))
+    files = rows.where("edit").withColumn("files", file_names(F.col("body")))
+    files = files.withColumn("files", F.when(F.size("files") > 0, F.col("files")).otherwise(file_names(F.coalesce("command", F.lit("")))))
     named = files.select("path", F.explode("files").alias("file")).withColumn("file", text.evidence_path(F.col("file"))).where("file <> ''").groupBy("path", "file").agg(F.count("*").alias("n"))
     test = F.lower("file").contains("test") | F.lower("file").contains("spec")
     scope = named.groupBy("path").agg(F.count("*").alias("files_touched"), F.count_if(test).alias("test_files"), F.sum(F.col("n") - 1).alias("rework"))

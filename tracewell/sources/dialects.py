@@ -3,8 +3,7 @@
 Events have the columns of EVENT: an envelope, the variant's own columns, and their places.  offset is the
 record an event comes from; (path, emitted, place) is the order in which events leave: an assistant message of dialect B is
 held until a later record lets it go, so it comes after the calls that followed it.  Texts and arguments leave this module as salted hashes only; facts keep
-texts, for use inside a job.  A string value is hashed as compact JSON, so hashes of prompts that a
-file wrote with unusual escapes follow the plain spelling.
+texts, for use inside a job.  Values that aren't texts of blocks are hashed as the bytes of their source, whatever its spelling.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import hashing, text
 from tracewell.functions.classify import output_failed, skill_name
+from tracewell.functions.rawjson import canonical_json, raw_values
 from tracewell.operators.carry import forward_fill, held_tokens
 
 from .lines import base_name, dialect_of, rollout_session
@@ -39,16 +39,16 @@ def blocks_of(content: Column) -> Column:
     return F.when(F.size(blocks) > 0, blocks)
 
 
-def raw_json(value: Column) -> Column:
-    """JSON text again of a field that was read as a string: arrays and objects as they are, strings quoted."""
-    quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-    return F.when(value.isNull(), F.lit("")).when(F.substring(F.ltrim(value), 1, 1).isin("[", "{"), value).otherwise(quoted)
+def content_hash(raw: Column, blocks: Column, salt: bytes) -> Column:
+    """The hash of a message: of its text blocks if it has blocks, else of the whole content as its source has it."""
+    texts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != "")), lambda b: b["text"])
+    return F.when(blocks.isNull(), hashing.salted_json(raw, salt)).otherwise(hashing.salted_list(texts, salt))
 
 
-def content_hash(content: Column, blocks: Column, salt: bytes) -> Column:
-    """The hash of a message: of its text blocks if it has blocks, else of the whole content."""
-    texts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & (F.coalesce(b["text"], F.lit("")) != "")), lambda b: b["text"])
-    return F.when(blocks.isNull(), hashing.salted_json(raw_json(content), salt)).otherwise(hashing.salted_list(texts, salt))
+def reencoded(value: Column, raw: Column) -> Column:
+    """A call's input as records keep it: objects and arrays as canonical JSON, strings as they are."""
+    nested = F.when(raw.rlike(r"^[\[{]"), raw)
+    return F.coalesce(canonical_json(nested), value)
 
 
 def sanitized_input(raw: Column, salt: bytes) -> Column:
@@ -61,15 +61,15 @@ def sanitized_result(raw: Column, is_error: Column, salt: bytes) -> Column:
     return F.struct(hashing.salted_json(raw, salt).alias("hash"), text.json_type(raw).alias("json_type"), is_error.alias("is_error"))
 
 
-def _records(lines: DataFrame, schema: str) -> DataFrame:
-    """Parsed records of good lines; those that don't parse or lack a type are left out."""
+def _records(lines: DataFrame, schema: str, raw: dict[str, str] | None = None) -> DataFrame:
+    """Parsed records of good lines; those that don't parse or lack a type are left out.  raw names paths whose source spelling is wanted."""
     parsed = lines.where("kind = 'line'").withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    return parsed.where("r._corrupt_record is null and coalesce(r.type, '') <> ''").select("path", "offset", "line_no", "r.*").drop("_corrupt_record")
+    return parsed.where("r._corrupt_record is null and coalesce(r.type, '') <> ''").select("path", "offset", "line_no", "r.*", *([raw_values(F.col("line"), **raw).alias("raw")] if raw else [])).drop("_corrupt_record")
 
 
-def records_a(lines: DataFrame) -> DataFrame:
+def records_a(lines: DataFrame, **raw: str) -> DataFrame:
     """Dialect A's records; turn_index counts every line read, also those that don't parse."""
-    return _records(lines, RECORD_A).withColumnRenamed("line_no", "turn_index")
+    return _records(lines, RECORD_A, raw).withColumnRenamed("line_no", "turn_index")
 
 
 def _finished(rows: DataFrame) -> DataFrame:
@@ -86,14 +86,16 @@ def events_a(lines: DataFrame, salt: bytes) -> DataFrame:
     of which the first event alone carries the tokens.
     """
     _require(salt)
-    r = records_a(lines)
+    r = records_a(lines, content="message.content", inputs="message.content[].input", contents="message.content[].content")
     m, usage = F.col("message"), F.col("message.usage")
     r = r.withColumn("blocks", blocks_of(m["content"]))
+    spelled = F.arrays_zip(F.col("blocks").alias("b"), F.col("raw.inputs").alias("input"), F.col("raw.contents").alias("content"))
+    r = r.withColumn("spelled", F.when(F.col("blocks").isNotNull(), spelled))
     one = lambda **c: F.struct(*(c.get(k, F.lit(None).cast(t)).alias(k) for k, t in _VARIANT.items()))
-    whole = content_hash(m["content"], F.col("blocks"), salt)
+    whole = content_hash(F.col("raw.content"), F.col("blocks"), salt)
     message = F.when(F.coalesce(whole, F.lit("")) != "", F.array(F.when(F.col("type") == "user", one(type=F.lit("user_prompt"), prompt_hash=whole)).otherwise(one(type=F.lit("assistant_message"), message_hash=whole)))).otherwise(F.array().cast(_VARIANTS))
-    results = F.transform(F.filter("blocks", lambda b: b["type"] == "tool_result"), lambda b: one(type=F.lit("tool_result"), tool_call_id=b["tool_use_id"], result=sanitized_result(raw_json(b["content"]), b["is_error"], salt)))
-    calls = F.transform(F.filter("blocks", lambda b: b["type"] == "tool_use"), lambda b: one(type=F.lit("tool_call"), tool_call_id=b["id"], name=b["name"], arguments=sanitized_input(b["input"], salt)))
+    results = F.transform(F.filter("spelled", lambda x: x["b"]["type"] == "tool_result"), lambda x: one(type=F.lit("tool_result"), tool_call_id=x["b"]["tool_use_id"], result=sanitized_result(x["content"], x["b"]["is_error"], salt)))
+    calls = F.transform(F.filter("spelled", lambda x: x["b"]["type"] == "tool_use"), lambda x: one(type=F.lit("tool_call"), tool_call_id=x["b"]["id"], name=x["b"]["name"], arguments=sanitized_input(x["input"], salt)))
     none = F.array().cast(_VARIANTS)
     fanned = (
         F.when(F.col("type") == "user", F.concat(message, F.coalesce(results, none)))
@@ -124,15 +126,15 @@ LET_GO, OWN, AT_END = 0, 1, 2
 def steps_b(lines: DataFrame, salt: bytes) -> DataFrame:
     """What each of dialect B's records says by itself, hashed: its event if any, what it sets and counts, and whether it lets go of a held message."""
     _require(salt)
-    r = _records(lines, RECORD_B)
-    p = F.col("payload")
+    r = _records(lines, RECORD_B, {"content": "payload.content", "arguments": "payload.arguments", "output": "payload.output"})
+    p, raw = F.col("payload"), F.col("raw")
     meta, context = F.col("type") == "session_meta", F.col("type") == "turn_context"
     item, kind = F.col("type") == "response_item", F.col("payload.type")
     items = F.from_json(p["content"], "array<struct<text:string,input_text:string,output_text:string>>")
     first_text = lambda b: F.coalesce(F.nullif(b["text"], F.lit("")), F.nullif(b["input_text"], F.lit("")), F.nullif(b["output_text"], F.lit("")))
     texts = F.filter(F.transform(items, first_text), lambda t: t.isNotNull())
     blocky = F.ltrim(p["content"]).startswith("[") & (F.size(items) > 0)
-    hashed = F.coalesce(F.when(blocky, hashing.salted_list(texts, salt)).otherwise(hashing.salted_json(raw_json(p["content"]), salt)), F.lit(""))
+    hashed = F.coalesce(F.when(blocky, hashing.salted_list(texts, salt)).otherwise(hashing.salted_json(raw["content"], salt)), F.lit(""))
     message, call, result = item & (kind == "message"), item & kind.isin(CALLS_B), item & kind.isin(RESULTS_B)
     user, assistant = message & (p["role"] == "user"), message & (p["role"] == "assistant")
     event = F.when(meta, "session_start").when(user, F.when(hashed != "", "user_prompt")).when(assistant, F.when(hashed != "", "assistant_message"))
@@ -143,14 +145,14 @@ def steps_b(lines: DataFrame, salt: bytes) -> DataFrame:
     used, zero = F.col("payload.info.last_token_usage"), F.lit(0)
     amounts = dict(zip(TOKENS, (F.coalesce(used["input_tokens"], zero), F.coalesce(used["output_tokens"], zero) + F.coalesce(used["reasoning_output_tokens"], zero), F.coalesce(used["cached_input_tokens"], zero)), strict=True))
     counted = (F.col("type") == "event_msg") & (kind == "token_count")
-    unwrapped = F.when(F.ltrim(p["arguments"]).startswith("{"), p["arguments"]).otherwise(raw_json(p["arguments"]))
+    unwrapped = F.when(raw["arguments"].startswith('"') & (text.json_type(p["arguments"]) == "object"), p["arguments"]).otherwise(raw["arguments"])
     is_assistant = F.coalesce(assistant & (hashed != ""), F.lit(False))
     return r.select(
         "path", "offset", event.alias("event"), F.when(user | assistant, hashed).alias("hash"), is_assistant.alias("is_assistant"), F.coalesce(user | meta, F.lit(False)).alias("is_boundary"),
         F.when(meta, p["id"]).alias("new_session"), F.when(meta | context, p["cwd"]).alias("new_cwd"), F.when(meta, p["git"]["branch"]).alias("new_branch"), F.when(context, p["model"]).alias("new_model"), p["turn_id"].alias("new_turn"),
         *(F.when(counted, a).cast("long").alias(n) for n, a in amounts.items()), F.when(meta, F.coalesce(F.nullif(p["timestamp"], F.lit("")), F.col("timestamp"))).otherwise(F.col("timestamp")).alias("stamp"),
         F.when(call | result, p["call_id"]).alias("tool_call_id"), F.when(call, p["name"]).alias("name"), F.when(call, sanitized_input(unwrapped, salt)).alias("arguments"),
-        F.when(result, sanitized_result(raw_json(p["output"]), F.lit(None).cast("boolean"), salt)).alias("result"),
+        F.when(result, sanitized_result(raw["output"], F.lit(None).cast("boolean"), salt)).alias("result"),
     )
 
 
@@ -237,7 +239,7 @@ def facts_a(lines: DataFrame) -> DataFrame:
     kind is user, assistant, call, result, pr_link, end or message; body is a text, a call's input or
     an end's subtype.  A record's own row comes before those of its blocks.
     """
-    r = records_a(lines).withColumn("blocks", blocks_of(F.col("message.content")))
+    r = records_a(lines, inputs="message.content[].input").withColumn("blocks", blocks_of(F.col("message.content")))
     has_results = F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_result"), F.lit(False))
     kind = (
         F.when(F.col("type") == "pr-link", "pr_link").when(F.col("type") == "result", "end").when((F.col("type") == "user") & ~has_results, "user")
@@ -245,11 +247,11 @@ def facts_a(lines: DataFrame) -> DataFrame:
     )
     body = F.when(F.col("type") == "result", F.col("subtype")).otherwise(text.content_text(F.col("message.content")))
     own = r.select("path", "offset", F.lit(-1).alias("place"), kind.alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), body.alias("body"), F.lit(None).cast("boolean").alias("is_error"))
-    parts = r.where("type in ('user', 'assistant') or message is not null").select("path", "offset", F.posexplode("blocks").alias("place", "b")).where("b.type in ('tool_use', 'tool_result')")
+    parts = r.where("type in ('user', 'assistant') or message is not null").select("path", "offset", F.posexplode("blocks").alias("place", "b"), F.try_element_at("raw.inputs", F.col("place") + 1).alias("input")).where("b.type in ('tool_use', 'tool_result')")
     call = F.col("b.type") == "tool_use"
     inner = parts.select(
         "path", "offset", "place", F.when(call, "call").otherwise("result").alias("kind"), F.when(call, F.col("b.id")).otherwise(F.col("b.tool_use_id")).alias("id"), F.col("b.name").alias("name"),
-        F.when(call, F.col("b.input")).otherwise(text.content_text(F.col("b.content"))).alias("body"), F.when(~call, F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
+        F.when(call, reencoded(F.col("b.input"), F.col("input"))).otherwise(text.content_text(F.col("b.content"))).alias("body"), F.when(~call, F.coalesce("b.is_error", F.lit(False))).alias("is_error"),
     )
     return own.where("kind is not null").unionByName(inner).select(FACT)
 
@@ -257,11 +259,11 @@ def facts_a(lines: DataFrame) -> DataFrame:
 def facts_b(lines: DataFrame) -> DataFrame:
     """What happened in dialect B's sessions; a result's error flag is what its text says."""
     p = F.col("payload")
-    r = _records(lines, RECORD_B).where("type = 'response_item'")
+    r = _records(lines, RECORD_B, {"arguments": "payload.arguments"}).where("type = 'response_item'")
     kind = (
         F.when(p["type"] == "message", F.when(p["role"].isin("user", "assistant"), p["role"]).otherwise("message"))
         .when(p["type"].isin(CALLS_B), "call").when(p["type"].isin(RESULTS_B), "result")
     )
-    body = F.when(p["type"] == "message", text.content_text(p["content"])).when(p["type"].isin(CALLS_B), p["arguments"]).otherwise(p["output"])
+    body = F.when(p["type"] == "message", text.content_text(p["content"])).when(p["type"].isin(CALLS_B), reencoded(p["arguments"], F.col("raw.arguments"))).otherwise(p["output"])
     rows = r.select("path", "offset", F.lit(0).alias("place"), kind.alias("kind"), p["call_id"].alias("id"), p["name"].alias("name"), body.alias("body")).where("kind is not null")
     return rows.withColumn("is_error", F.when(F.col("kind") == "result", F.coalesce(output_failed(F.col("body")), F.lit(False)))).select(FACT)
