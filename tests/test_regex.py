@@ -5,7 +5,7 @@ import re
 
 from tracewell.functions import classify
 from tracewell.functions.redact import ENTROPY_TOKEN, RULES
-from tracewell.functions.regex import re2
+from tracewell.functions.regex import re2, re2_space
 
 PARTS = [
     "AKIA", "ABCDEFGH12345678", "sk-", "sk_live_", "ghp_", "x" * 20, "password", "token", "=", ": ", "a.b@c.org", "10.1.2.3", "415-555-0100", "(415) 555-0100", "+1 ", "Jane", " ", "Doe", "é", "_", "-", ".", "MY_KEY=", "eyJ", "fix", "wrong", "doesn't", "done",
@@ -18,6 +18,27 @@ def test_bounds_are_ascii():
     texts = ["".join(r.choice(PARTS) for _ in range(r.randint(1, 12))) for _ in range(4000)]
     patterns = [x.pattern for x in RULES] + [ENTROPY_TOKEN, classify.CORRECTION, classify.ACCEPTANCE, classify.EDIT_BY_SHELL, classify.FAILURE_SIGNAL, classify.SKILL_INJECTION]
     for p in patterns:
-        want, found = re.compile(p, re.ASCII), re.compile(re2(p), re.ASCII)
+        flat = re2(p).removeprefix("(?d)").replace(r"\z", r"\Z")
+        want, found = re.compile(re2_space(p), re.ASCII), re.compile(flat, re.ASCII)
         for t in texts:
             assert [m.span() for m in want.finditer(t)] == [m.span() for m in found.finditer(t)], (p, t)
+
+
+def test_white_space_and_ends_of_text(spark):
+    """U+000B is no white space, a carriage return no line end, and an end of text stands after everything."""
+    from pyspark.sql import functions as F
+
+    cases = [("a b", True), ("a\x0bb", False), ("a\u00a0b", False), ("make", True), ("make\n", False), ("x\rFAIL", False), ("x\nFAIL\n", True), ("FAIL\x0b", False), ("tsc\t", True)]
+    patterns = [r"a\sb", r"(make( |$)|tsc(\s|$))", r"(?m)(^)FAIL(\s|$)"]
+    hit = F.col("t").rlike(re2(patterns[0]))
+    for p in patterns[1:]:
+        hit = hit | F.col("t").rlike(re2(p))
+    rows = spark.createDataFrame([(t,) for t, _ in cases], "t string")
+    assert [(r.t, r.hit) for r in rows.select("t", hit.alias("hit")).collect()] == cases
+
+
+def test_redaction_leaves_vertical_tabs(spark):
+    from tracewell.functions.redact import scrub
+
+    rows = spark.createDataFrame([("token\x0b: abcdef",), ("Ada\x0bLovelace",), ("Ada Lovelace",)], "text string")
+    assert [r.text for r in scrub(rows).collect()] == ["token\x0b: abcdef", "Ada\x0bLovelace", "[REDACTED:pii.name]"]

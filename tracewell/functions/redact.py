@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
+from .regex import re2_space
+
 SCRUBBER_VERSION = "redact/1"
 NOTICE = "automated redaction is best-effort and can miss secrets"
 #: Tokens that an entropy of this many bits makes secrets.
@@ -107,7 +109,7 @@ def scrub(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
     patterns = [(r.category, r.pattern) for r in rules or RULES] + [(ENTROPY_CATEGORY, ENTROPY_TOKEN)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(c, re.compile(p, re.ASCII)) for c, p in patterns]
+        compiled = [(c, re.compile(re2_space(p), re.ASCII)) for c, p in patterns]
         for batch in batches:
             done = [(None, {}) if t is None else scrub_text(t, compiled) for t in batch.column(text).to_pylist()]
             report = pa.StructArray.from_arrays(

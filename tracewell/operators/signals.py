@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import classify, scoring, text
@@ -33,7 +33,10 @@ def is_scorable(fold: DataFrame) -> DataFrame:
 def outcome_signals(facts: DataFrame) -> DataFrame:
     """One row a session file of what its facts say: verification, landing, termination, turns, scope.
 
-    Everything is a window or an aggregate over a file's own rows.  A file without facts has no row.
+    The columns that end in _at are the byte places of the records that tell: the last verification's result,
+    the first landing that succeeded (else the first that was answered), the last end or result, the first passed
+    verification after an edit, the first second edit of a file; null where nothing tells.  Everything is a window or
+    an aggregate over a file's own rows.  A file without facts has no row.
     """
     order = ["offset", "place"]
     at = F.struct(*order)
@@ -53,15 +56,16 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
     tried = rows.where("verify or land").join(results, ["path", "id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
     ok = F.col("answered") & ~F.coalesce("failed", F.lit(True))
     tried = tried.groupBy("path").agg(
-        F.max_by(F.struct("answered", "failed"), F.when(F.col("verify"), at)).alias("last_verify"), F.max(F.col("verify") & F.col("edited") & ok).alias("verified_after_edit"),
+        F.max_by(F.struct("answered", "failed", "answer_at"), F.when(F.col("verify"), at)).alias("last_verify"), F.max(F.col("verify") & F.col("edited") & ok).alias("verified_after_edit"),
+        F.min_by("answer_at", F.when(F.col("verify") & F.col("edited") & ok, at)).alias("verified_after_edit_at"), F.min_by("answer_at", F.when(F.col("land") & ok, at)).alias("landed_at"), F.min_by("answer_at", F.when(F.col("land") & F.col("answered"), at)).alias("land_tried_at"),
         F.count_if("land").alias("landings"), F.max(F.col("land") & ok).alias("land_ok"), F.max(F.col("land") & ~F.col("answered")).alias("land_open"),
     )
 
-    files = rows.where("edit").withColumn("files", file_names(F.col("body")))
-    files = files.withColumn("files", F.when(F.size("files") > 0, F.col("files")).otherwise(file_names(F.coalesce("command", F.lit("")))))
-    named = files.select("path", F.explode("files").alias("file")).withColumn("file", text.evidence_path(F.col("file"))).where("file <> ''").groupBy("path", "file").agg(F.count("*").alias("n"))
+    files = rows.where("edit").withColumn("files", edited_files(F.col("body"), F.col("command")))
+    edits = named_files(files)
+    named = edits.withColumn("nth", F.row_number().over(Window.partitionBy("path", "file").orderBy(*order))).groupBy("path", "file").agg(F.count("*").alias("n"), F.max(F.when(F.col("nth") == 2, F.col("offset"))).alias("again_at"))
     test = F.lower("file").contains("test") | F.lower("file").contains("spec")
-    scope = named.groupBy("path").agg(F.count("*").alias("files_touched"), F.count_if(test).alias("test_files"), F.sum(F.col("n") - 1).alias("rework"))
+    scope = named.groupBy("path").agg(F.count("*").alias("files_touched"), F.count_if(test).alias("test_files"), F.sum(F.col("n") - 1).alias("rework"), F.min("again_at").alias("rework_at"))
     edit_calls = rows.where("edit and id <> ''").groupBy("path", "id").agg(F.min(at).alias("called"))
     hunks = rows.where("kind = 'result'").join(edit_calls, ["path", "id"]).where(at > F.col("called")).groupBy("path").agg(F.sum(F.regexp_count("body", F.lit(classify.DIFF_HUNK))).alias("diff_hunks"))
 
@@ -74,7 +78,8 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
     base = rows.groupBy("path").agg(
         F.count_if(human).alias("human_turns"), F.count_if(cut_off).alias("interruptions"), F.count_if(said == "correction").alias("corrections"), F.count_if(said == "acceptance").alias("acceptances"),
         F.max(F.col("kind") == "pr_link").alias("pr_link"), F.count_if("edit").alias("edit_count"), F.max_by("body", ended).alias("end_reason"), F.max_by(F.struct("kind", "id"), moves).alias("last_move"),
-        F.max_by("is_error", F.when(F.col("kind") == "result", at)).alias("last_error"),
+        F.max_by("is_error", F.when(F.col("kind") == "result", at)).alias("last_error"), F.max(F.when(F.col("kind") == "result", F.col("offset"))).alias("last_result_at"),
+        F.max(F.when(F.col("kind") == "pr_link", F.col("offset"))).alias("pr_link_at"), F.max(F.when((F.col("kind") == "end") & (F.coalesce("body", F.lit("")) != ""), F.col("offset"))).alias("ended_at"),
         F.transform(F.sort_array(F.collect_list(F.when(skill.isNotNull(), F.struct("offset", "place", skill.alias("skill"))))), lambda s: s["skill"]).alias("skills"),
     )
     joined = base.join(tried, "path", "left").join(scope, "path", "left").join(hunks, "path", "left")
@@ -92,32 +97,64 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
         "path", verification.alias("verification"), landing.alias("landing_quality"), termination.alias("termination"), "human_turns", "interruptions", "corrections", "acceptances", number("rework"),
         F.coalesce("verified_after_edit", F.lit(False)).alias("verified_after_edit"), F.array_distinct("skills").alias("skills_used"), (F.size("skills") > 0).alias("skill_assisted"),
         number("files_touched"), number("test_files"), "edit_count", number("diff_hunks"),
+        F.when(verification != "", F.col("last_verify.answer_at")).alias("verification_at"), F.when(F.col("pr_link"), F.col("pr_link_at")).otherwise(F.coalesce("landed_at", "land_tried_at")).alias("landing_at"),
+        F.when(F.col("end_reason").isNotNull(), F.col("ended_at")).otherwise(F.col("last_result_at")).alias("termination_at"), "verified_after_edit_at", "rework_at",
     )
 
 
+def edited_files(body: Column, command: Column) -> Column:
+    """The files that an edit's input names, cleaned, or else those in its command."""
+    clean = lambda names: F.array_distinct(F.filter(F.transform(names, text.evidence_path), lambda f: f != ""))
+    own = clean(file_names(body))
+    return F.when(F.size(own) > 0, own).otherwise(clean(file_names(F.coalesce(command, F.lit("")))))
+
+
+def named_files(edits: DataFrame) -> DataFrame:
+    """(path, offset, place, file) for each file of edits (path, offset, place, files)."""
+    return edits.select("path", "offset", "place", F.explode("files").alias("file"))
+
+
 def evidence(facts: DataFrame) -> DataFrame:
     """(path, evidence): per session file its observed signals in order, as (signal, value, offset, detail); details are fixed values."""
     order = ["offset", "place"]
     rows = seen_before(facts, "spoken", F.col("kind") == "assistant", ["path"], order)
     call = F.col("kind") == "call"
-    command = F.when(call & classify.is_exec_tool(F.col("name")), text.command_of(F.col("body")))
-    skill = F.when(F.col("kind") == "user", classify.skill_name(F.col("body")))
-    cut_off = (F.col("kind") == "user") & skill.isNull() & F.coalesce(F.col("body").rlike(classify.INTERRUPTION), F.lit(False))
-    said = F.when((F.col("kind") == "user") & skill.isNull() & ~cut_off & F.col("spoken"), classify.reaction(F.col("body")))
+    rows = rows.withColumns({"command": F.when(call & classify.is_exec_tool(F.col("name")), text.command_of(F.col("body"))), "skill": F.when(F.col("kind") == "user", classify.skill_name(F.col("body")))})
+    command, skill = F.col("command"), F.col("skill")
     edit = call & (classify.is_edit_tool(F.col("name")) | F.coalesce(command.rlike(re2(classify.EDIT_BY_SHELL)), F.lit(False)))
+    rows = rows.withColumns({"files": F.when(edit, edited_files(F.col("body"), command)), "is_edit": F.coalesce(edit, F.lit(False)), "nth_skill": F.row_number().over(Window.partitionBy("path", "skill").orderBy(*order))})
+    new_skill = skill.isNotNull() & (F.col("nth_skill") == 1)
+    cut_off = (F.col("kind") == "user") & skill.isNull() & F.coalesce(F.col("body").rlike(re2(classify.INTERRUPTION)), F.lit(False))
+    said = F.when((F.col("kind") == "user") & skill.isNull() & ~cut_off & F.col("spoken"), classify.reaction(F.col("body")))
     one = lambda signal, value, detail: F.struct(F.lit(signal).alias("signal"), value.alias("value"), F.col("offset"), detail.alias("detail"))
     found = F.array_compact(F.array(
         F.when(F.col("kind") == "pr_link", one("landing_quality", F.lit("pr_link"), F.lit("pr-link record"))),
         F.when(F.coalesce(command.rlike(re2(classify.VERIFY_COMMAND)), F.lit(False)), one("verification", F.lit("ran"), F.col("name"))),
         F.when(F.coalesce(command.rlike(re2(classify.LAND_COMMAND)), F.lit(False)), one("landing_quality", F.lit("attempted"), F.col("name"))),
-        F.when(edit, one("scope", F.lit("edit"), F.lit("file"))), F.when(skill.isNotNull(), one("skill_used", skill, F.lit("skill injection"))),
+        F.when(new_skill, one("skill_used", skill, F.lit("skill injection"))),
         F.when(cut_off, one("interruption", F.lit("true"), F.lit("developer interrupted the agent"))),
         F.when(said == "correction", one("human_correction", F.lit("true"), F.lit("matched correction phrase"))), F.when(said == "acceptance", one("human_acceptance", F.lit("true"), F.lit("matched acceptance phrase"))),
     ))
-    listed = rows.select("path", *order, F.posexplode(found).alias("n", "e"))
+    scope = F.when(F.size("files") > 0, F.transform("files", lambda f: one("scope", F.lit("edit"), F.lit("file")))).when(F.col("is_edit"), F.array(one("scope", F.lit("edit"), F.lit("file unknown"))))
+    listed = rows.select("path", *order, F.posexplode(F.concat(found, F.coalesce(scope, F.array().cast(EVIDENCE)))).alias("n", "e"))
     return listed.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "n", "e"))), lambda x: x["e"]).alias("evidence"))
 
 
+EVIDENCE = "array<struct<signal:string,value:string,offset:bigint,detail:string>>"
+
+
+def finalized(outcomes: DataFrame, listed: DataFrame) -> DataFrame:
+    """outcomes with evidence: what was observed, in order, then what it comes to, with the places that tell; details are fixed values."""
+    c = F.col
+    one = lambda signal, value, at, detail: F.struct(F.lit(signal).alias("signal"), value.alias("value"), F.coalesce(c(at), F.lit(0)).cast("long").alias("offset"), F.lit(detail).alias("detail"))
+    said = F.array_compact(F.array(
+        F.when(c("verification") != "", one("verification", c("verification"), "verification_at", "last verification result")), F.when(c("landing_quality") != "none", one("landing_quality", c("landing_quality"), "landing_at", "")),
+        F.when(c("termination") != "unknown", one("termination", c("termination"), "termination_at", "")), F.when(c("rework") > 0, one("rework", F.lit("true"), "rework_at", "same file edited repeatedly")),
+        F.when(c("verified_after_edit"), one("verified_after_edit", F.lit("true"), "verified_after_edit_at", "")),
+    ))
+    return outcomes.join(listed, "path", "left").withColumn("evidence", F.concat(F.coalesce("evidence", F.array().cast(EVIDENCE)), said))
+
+
 def evidence_count(evidence_: Column, signal: str) -> Column:
     """How often a signal stands in a session's evidence."""
     return F.size(F.filter(evidence_, lambda e: e["signal"] == signal))

@@ -33,8 +33,14 @@ def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = lambda kind: text(f'{{"type":"{kind}","uuid":"u', turn, '","sessionId":"s', conv, '","timestamp":"2026-01-01T00:', F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), ':00Z","cwd":"/w","isSidechain":false,"message":{"role":"', kind, '",')
     model = text('"model":"m', (F.col("conv_id") % 3).cast("string"), '","usage":{"input_tokens":', F.length("text").cast("string"), ',"output_tokens":', turn, '},"content":[{"type":"text","text":', js, '},{"type":"tool_use","id":"c', turn, '","name":"', F.when(F.col("turn") % 4 < 2, "Bash").otherwise("Edit"), '","input":{"command":"ls"}}]}}')
     line = F.when(F.col("role") == "user", text(head("user"), '"content":', js, "}}")).when(F.col("role") == "assistant", text(head("assistant"), model)).otherwise('{"type":"system"}')
+    return scanned_files(rows.select(F.col("conv_id").alias("conv"), F.col("turn").alias("at"), line.alias("value")))
+
+
+def scanned_files(rows: DataFrame) -> DataFrame:
+    """The lines (conv, at, value) written in order to a file for each conv, as a scan reads them back."""
+    spark = rows.sparkSession
     path = scratch_path(spark, "sessions")
-    placed = rows.select(F.col("conv_id").alias("conv"), "turn", line.alias("value")).repartition("conv").sortWithinPartitions("conv", "turn")
+    placed = rows.repartition("conv").sortWithinPartitions("conv", "at")
     placed.select("conv", "value").write.partitionBy("conv").text(path)
     return lines.scan_lines(spark, path, "*.txt")
 
