@@ -144,23 +144,6 @@ def insert_new(existing: DataFrame, new: DataFrame, key: str, order: list[str])
     return first_per_payload(new, key, order).join(existing.select(key), key, "left_anti").select(new.columns)
 
 
-def allowed_requests(times: Column, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> Column:
-    """Flags of one client's sorted request times in microseconds: whether each is let through.
-
-    A window begins with the first request after the window before it, so windows aren't aligned.
-    """
-    state = F.aggregate(
-        times,
-        F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out")),
-        lambda acc, t: F.when(
-            acc["start"].isNull() | (t - acc["start"] >= seconds * 1_000_000), F.struct(t.alias("start"), F.lit(1).alias("n"), F.concat(acc["out"], F.array(F.lit(True))).alias("out"))
-        ).otherwise(
-            F.struct(acc["start"].alias("start"), F.least(acc["n"] + 1, F.lit(limit)).alias("n"), F.concat(acc["out"], F.array(acc["n"] < limit)).alias("out"))
-        ),
-    )
-    return state["out"]
-
-
 def matured(captured_at: Column, now: Column, hours: int = 24) -> Column:
     """Whether a record of a time in microseconds is old enough to be released."""
     return now - captured_at >= hours * 3_600_000_000

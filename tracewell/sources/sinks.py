@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import safe_component
-from tracewell.operators.capture import corpus_path
 from tracewell.operators.latest import latest_per
 
+from .task_files import write_task_files
+
 
 def append_facts(rows: DataFrame, path: str) -> None:
     """Add resolved facts to the fact table; a job that fails adds nothing."""
@@ -27,10 +28,5 @@ def write_snapshots(rows: DataFrame, path: str, key: str = "session_id") -> None
 
 
 def write_tasks(tasks: DataFrame, path: str) -> None:
-    """Write published tasks as JSON below path, a folder a task named as corpus_path() names its file.
-
-    A task that is written again takes its earlier version's place.
-    """
-    file = F.split(corpus_path(F.col("task_id")), "/")
-    placed = tasks.withColumns({"prefix": file[2], "task": F.regexp_replace(file[3], r"\.json$", "")})
-    placed.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("prefix", "task").json(f"{path.rstrip('/')}/tasks/sha256")
+    """Write published tasks as JSON below path, each in the file that its id names, in place of an earlier version."""
+    write_task_files(tasks, path)

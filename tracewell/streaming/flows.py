@@ -1,17 +1,16 @@
-"""Streaming jobs: submissions into a table without repeats, matured records, rate limits per client."""
+"""Streaming jobs: submissions as they come, matured records, rate limits per client."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewell.operators.jobs import RATE_LIMIT, RATE_SECONDS, first_per_payload
+from tracewell.operators.jobs import RATE_LIMIT, RATE_SECONDS
 
 SUBMISSION = "task_id string, payload string, contributor string, received_at timestamp"
 
@@ -22,31 +21,6 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("payload_sha256", F.sha2("payload", 256))
 
 
-def accept_into(table: str, quarantine: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: good rows of new payloads go to a Parquet table, bad ones to another.
-
-    Each batch writes folders of its own number in both, in place of what an earlier try left there, and
-    looks payloads up in the folders of other batches; so a batch that is run again changes nothing.
-    """
-
-    def accept(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        bad = F.col("_corrupt_record").isNotNull() | F.col("task_id").isNull() | (F.coalesce("payload", F.lit("")) == "")
-        batch.where(bad).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        good = first_per_payload(batch.where(~bad).drop("_corrupt_record"), "payload_sha256", ["received_at", "task_id"])
-        try:
-            known = spark.read.option("basePath", table).parquet(table).where(F.col("batch") != number)
-            good = good.join(known.select("payload_sha256"), "payload_sha256", "left_anti")
-        except AnalysisException as e:  # the table's first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        good.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        batch.unpersist()
-
-    return accept
-
-
 def limited(requests: DataFrame, limit: int = RATE_LIMIT, seconds: int = RATE_SECONDS) -> DataFrame:
     """A stream of (client, at) with allowed: a window begins with a client's first request after the last.
 
