@@ -52,8 +52,9 @@ def test_verdicts(spark):
     assert (out[1].title, out[1].outcome, out[1].score, out[1].label, out[1].task_type) == ("T", "corrected", 34.0, "corrected · 2 correction(s) · sentiment -1.0", "swe")
     assert [out[k].error for k in range(1, 6)] == [None, "decode verdict", "invalid outcome", None, "invalid task_type"]
     turns = F.array(F.struct(F.lit("user").alias("role"), F.lit("u" * 2000).alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("a").alias("text")))
-    asked = one(spark, v.prompt("Judge.", turns, F.array(F.lit("s1"))))
-    assert asked.startswith("Judge.\n\nNote: the developer invoked skill(s): s1.") and asked.endswith("developer: " + "u" * 1500 + "\n\nassistant: a")
+    assert one(spark, v.prompt("Judge.", turns, F.array(F.lit("s1")))).startswith("Judge.\n\n--- transcript ---")
+    asked = one(spark, v.prompt("Judge.", turns, F.array(F.lit("s1"), F.lit("s2")), "Skills used: {skills}."))
+    assert asked.startswith("Judge.\n\nSkills used: s1, s2.\n\n--- transcript ---") and asked.endswith("developer: " + "u" * 1500 + "\n\nassistant: a")
 
 
 def test_tasks(spark, tmp_path):
