@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import classify, scoring, text
 from tracewell.functions.rawjson import file_names
 from tracewell.functions.regex import re2
+from tracewell.sources.scratch import scratch_path
 
 from .carry import last_result_per_call, seen_before
 
@@ -30,6 +31,29 @@ def is_scorable(fold: DataFrame) -> DataFrame:
     return fold.where("tool_calls > 0 or turns > 0 or input_tokens > 0")
 
 
+def noted(facts: DataFrame) -> DataFrame:
+    """facts with what their texts say in place of the texts: flags of commands, files of edits, signs in results and messages."""
+    kind, body = F.col("kind"), F.col("body")
+    call, user, result = kind == "call", kind == "user", kind == "result"
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = facts.withColumns({"id": F.coalesce("id", F.lit("")), "command": F.nullif(F.when(call & classify.is_exec_tool(F.col("name")), text.command_of(body)), F.lit(""))})
+    command = F.col("command")
+    rows = rows.withColumn("edit", yes(call & (classify.is_edit_tool(F.col("name")) | yes(command.rlike(re2(classify.EDIT_BY_SHELL))))))
+    return rows.select(
+        "path", "offset", "place", "kind", "id", "is_error", "edit", yes(command.rlike(re2(classify.VERIFY_COMMAND))).alias("verify"), yes(command.rlike(re2(classify.LAND_COMMAND))).alias("land"),
+        F.when(F.col("edit"), edited_files(body, command)).alias("files"), F.when(result, yes(classify.output_failed(body))).alias("says_failed"), F.when(result, F.regexp_count(body, F.lit(re2(classify.DIFF_HUNK)))).alias("hunks"),
+        F.when(user, classify.skill_name(body)).alias("skill"), yes(user & body.rlike(re2(classify.INTERRUPTION))).alias("cut_off"), yes(user & (text.strip(F.coalesce(body, F.lit(""))) != "")).alias("said_something"),
+        F.when(user, classify.reaction(body)).alias("reaction"), F.when(kind == "end", body).alias("reason"),
+    )
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows written to the scratch folder and read back: sessions are parsed once, and plans over them stay short."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def outcome_signals(facts: DataFrame) -> DataFrame:
     """One row a session file of what its facts say: verification, landing, termination, turns, scope.
 
@@ -40,19 +64,13 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
     """
     order = ["offset", "place"]
     at = F.struct(*order)
-    rows = facts.withColumn("id", F.coalesce("id", F.lit("")))
+    rows = stored(noted(facts), "session-steps")
     call = F.col("kind") == "call"
-    command = F.when(call & classify.is_exec_tool(F.col("name")), text.command_of(F.col("body")))
-    rows = rows.withColumn("command", F.nullif(command, F.lit("")))
-    rows = rows.withColumns({
-        "verify": F.coalesce(F.col("command").rlike(re2(classify.VERIFY_COMMAND)), F.lit(False)), "land": F.coalesce(F.col("command").rlike(re2(classify.LAND_COMMAND)), F.lit(False)),
-        "edit": F.coalesce(call & (classify.is_edit_tool(F.col("name")) | F.coalesce(F.col("command").rlike(re2(classify.EDIT_BY_SHELL)), F.lit(False))), F.lit(False)),
-    })
     rows = seen_before(rows, "edited", F.col("edit"), ["path"], order)
     rows = seen_before(rows, "spoken", F.col("kind") == "assistant", ["path"], order)
 
-    results = last_result_per_call(rows.where("kind = 'result'").select("path", "id", *order, "is_error", "body"), ["path"], "id", order)
-    results = results.select("path", "id", F.lit(True).alias("answered"), (F.col("is_error") | F.coalesce(classify.output_failed(F.col("body")), F.lit(False))).alias("failed"), F.col("offset").alias("answer_at"))
+    results = last_result_per_call(rows.where("kind = 'result'").select("path", "id", *order, "is_error", "says_failed"), ["path"], "id", order)
+    results = results.select("path", "id", F.lit(True).alias("answered"), (F.col("is_error") | F.col("says_failed")).alias("failed"), F.col("offset").alias("answer_at"))
     tried = rows.where("verify or land").join(results, ["path", "id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
     ok = F.col("answered") & ~F.coalesce("failed", F.lit(True))
     tried = tried.groupBy("path").agg(
@@ -61,25 +79,22 @@ def outcome_signals(facts: DataFrame) -> DataFrame:
         F.count_if("land").alias("landings"), F.max(F.col("land") & ok).alias("land_ok"), F.max(F.col("land") & ~F.col("answered")).alias("land_open"),
     )
 
-    files = rows.where("edit").withColumn("files", edited_files(F.col("body"), F.col("command")))
-    edits = named_files(files)
-    named = edits.withColumn("nth", F.row_number().over(Window.partitionBy("path", "file").orderBy(*order))).groupBy("path", "file").agg(F.count("*").alias("n"), F.max(F.when(F.col("nth") == 2, F.col("offset"))).alias("again_at"))
+    named = named_files(rows.where("edit")).withColumn("nth", F.row_number().over(Window.partitionBy("path", "file").orderBy(*order))).groupBy("path", "file").agg(F.count("*").alias("n"), F.max(F.when(F.col("nth") == 2, F.col("offset"))).alias("again_at"))
     test = F.lower("file").contains("test") | F.lower("file").contains("spec")
     scope = named.groupBy("path").agg(F.count("*").alias("files_touched"), F.count_if(test).alias("test_files"), F.sum(F.col("n") - 1).alias("rework"), F.min("again_at").alias("rework_at"))
     edit_calls = rows.where("edit and id <> ''").groupBy("path", "id").agg(F.min(at).alias("called"))
-    hunks = rows.where("kind = 'result'").join(edit_calls, ["path", "id"]).where(at > F.col("called")).groupBy("path").agg(F.sum(F.regexp_count("body", F.lit(classify.DIFF_HUNK))).alias("diff_hunks"))
+    hunks = rows.where("kind = 'result'").join(edit_calls, ["path", "id"]).where(at > F.col("called")).groupBy("path").agg(F.sum("hunks").alias("diff_hunks"))
 
-    skill = F.when(F.col("kind") == "user", classify.skill_name(F.col("body")))
-    cut_off = (F.col("kind") == "user") & skill.isNull() & F.coalesce(F.col("body").rlike(classify.INTERRUPTION), F.lit(False))
-    human = (F.col("kind") == "user") & skill.isNull() & ~cut_off & (text.strip(F.coalesce("body", F.lit(""))) != "")
-    said = F.when(human & F.col("spoken"), classify.reaction(F.col("body")))
+    skill, cut_off = F.col("skill"), F.col("cut_off")
+    human = (F.col("kind") == "user") & skill.isNull() & ~cut_off & F.col("said_something")
+    said = F.when(human & F.col("spoken"), F.col("reaction"))
     moves = F.when(~call | (F.col("id") != ""), at)
-    ended = F.when((F.col("kind") == "end") & (F.coalesce("body", F.lit("")) != ""), at)
+    ended = F.when(F.coalesce("reason", F.lit("")) != "", at)
     base = rows.groupBy("path").agg(
         F.count_if(human).alias("human_turns"), F.count_if(cut_off).alias("interruptions"), F.count_if(said == "correction").alias("corrections"), F.count_if(said == "acceptance").alias("acceptances"),
-        F.max(F.col("kind") == "pr_link").alias("pr_link"), F.count_if("edit").alias("edit_count"), F.max_by("body", ended).alias("end_reason"), F.max_by(F.struct("kind", "id"), moves).alias("last_move"),
+        F.max(F.col("kind") == "pr_link").alias("pr_link"), F.count_if("edit").alias("edit_count"), F.max_by("reason", ended).alias("end_reason"), F.max_by(F.struct("kind", "id"), moves).alias("last_move"),
         F.max_by("is_error", F.when(F.col("kind") == "result", at)).alias("last_error"), F.max(F.when(F.col("kind") == "result", F.col("offset"))).alias("last_result_at"),
-        F.max(F.when(F.col("kind") == "pr_link", F.col("offset"))).alias("pr_link_at"), F.max(F.when((F.col("kind") == "end") & (F.coalesce("body", F.lit("")) != ""), F.col("offset"))).alias("ended_at"),
+        F.max(F.when(F.col("kind") == "pr_link", F.col("offset"))).alias("pr_link_at"), F.max(F.when(F.coalesce("reason", F.lit("")) != "", F.col("offset"))).alias("ended_at"),
         F.transform(F.sort_array(F.collect_list(F.when(skill.isNotNull(), F.struct("offset", "place", skill.alias("skill"))))), lambda s: s["skill"]).alias("skills"),
     )
     joined = base.join(tried, "path", "left").join(scope, "path", "left").join(hunks, "path", "left")
