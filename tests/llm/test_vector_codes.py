@@ -48,6 +48,12 @@ def test_brute_force(spark):
     assert result(spark, rows) == brute([(i, e if e is None else [c if c is None else float(np.float32(c)) for c in e], label) for i, e, label in rows])
 
 
+def test_large_components_are_exact(spark):
+    rng = random.Random(8)
+    rows = [(i, [float(np.float32(rng.choice((-1e6, 1e6, 123456.789, rng.gauss(0, 1e5))))) for _ in range(64)], i % 2) for i in range(90)]
+    assert result(spark, rows) == brute(rows)
+
+
 def test_transform_is_in_order_of_sequency():
     for size in (1, 2, 4, 8, 32):
         rows = v.walsh(np.eye(size, dtype=np.int64)).T

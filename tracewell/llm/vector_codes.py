@@ -12,7 +12,7 @@ component) and add up the parts of each entry, so a task sends at most 64 sums f
 
 Rows whose vector is null or holds null, NaN or infinite components are dropped.  Vectors of another
 length have codebooks of their own; a length that 16 doesn't divide is padded with zeros at the end.
-Components are held within +-LARGEST, so that sums of squares fit in 64 bits.  Rows of one vec_id are
+Components are held within +-2**30 / M (2**28 where parts have 3 or 4 components), so that sums of squares fit in 64 bits.  Rows of one vec_id are
 coded one by one; among them the smaller vector comes first as a first entry, and null vec_ids come last.
 With fewer than 64 vectors there are fewer entries.  An empty table gives no rows.
 """
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .shared import sized
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-#: Bound of an integer component: squares of a part of 2**12 of them, scaled by as much, stay below 2**63.
-LARGEST = 1 << 18
+#: Bits of a part's transform: with components of at most 2**BITS / M, scaled squared distances stay below 2**63.
+BITS = 30
 #: Vectors that a task holds at a time.
 CHUNK = 2_048
 
@@ -42,7 +42,8 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, x): the integer components of the rows that are kept."""
     x = F.col("embedding").cast("array<double>")
     good = F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    bound = F.lit(float(LARGEST))
+    width = F.greatest(F.ceil(F.size(x) / PARTS), F.lit(1))
+    bound = F.pow(F.lit(2.0), F.lit(BITS) - F.ceil(F.log2(width)))
     whole = F.transform(x, lambda c: F.floor(F.greatest(F.least(c * SCALE, bound), -bound)).cast("long"))
     return vectors.where(good).select("vec_id", "label", whole.alias("x"))
 
