@@ -44,8 +44,8 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     good = F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     width = F.greatest(F.ceil(F.size(x) / PARTS), F.lit(1))
     bound = F.pow(F.lit(2.0), F.lit(BITS) - F.ceil(F.log2(width)))
-    whole = F.transform(x, lambda c: F.floor(F.greatest(F.least(c * SCALE, bound), -bound)).cast("long"))
-    return vectors.where(good).select("vec_id", "label", whole.alias("x"))
+    kept = vectors.where(good).select("vec_id", "label", x.alias("x"), bound.alias("bound"))  # worked out once a vector
+    return kept.select("vec_id", "label", F.transform("x", lambda c: F.floor(F.greatest(F.least(c * SCALE, F.col("bound")), -F.col("bound"))).cast("long")).alias("x"))
 
 
 def parts_of(rows: np.ndarray) -> np.ndarray:
