@@ -11,7 +11,9 @@ from .classify import looks_like_instructions
 WRAPPERS = "environment_context|user_instructions|environment_details|system-reminder|instructions"
 WRAPPER_BLOCK = rf"(?is)<({WRAPPERS})>.*?</({WRAPPERS})>"
 TURN_CHARS, OUTPUT_CHARS, MOST_TURNS, TITLE_CHARS, STATEMENT_CHARS = 16_000, 6_000, 600, 90, 1_600
-JUDGE_TURN_CHARS, VERDICT_TITLE_CHARS, VERDICT_SUMMARY_CHARS = 1_500, 90, 240
+VERDICT_TITLE_CHARS, VERDICT_SUMMARY_CHARS = 90, 240
+#: The bytes of a turn that a judge is shown, and what stands for the rest.
+JUDGE_TURN_BYTES, CUT = 1_500, "…"
 TRUNCATED = "\n… [truncated]"
 #: White space as Unicode has it, which trim() alone doesn't strip.
 SPACES = " \t\n\x0b\x0c\r\x85\xa0                　"
@@ -61,6 +63,20 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(TRUNCATED))).otherwise(text)
 
 
+def cut_bytes(text: Column, most: int, mark: str = "") -> Column:
+    """A text's first most bytes in UTF-8, and mark where that is less than all.
+
+    Of a character that the cut parts, each byte left is one U+FFFD, as JSON writers spell bytes that are no text.
+    """
+    data = text.cast("binary")
+    head = lambda k: F.substring(data, 1, most - k).cast("string")
+    cut = head(0)
+    for k in range(min(most, 3), 0, -1):
+        cut = F.when(F.is_valid_utf8(head(k)), F.concat(head(k), F.lit("\ufffd" * k))).otherwise(cut)
+    cut = F.when(F.is_valid_utf8(head(0)), head(0)).otherwise(cut)
+    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit(mark))).otherwise(text)
+
+
 def json_type(raw: Column) -> Column:
     """'', 'invalid', 'array', 'object', 'string', 'number', 'boolean' or 'null' of a JSON text."""
     kind = F.schema_of_variant(F.try_parse_json(raw))

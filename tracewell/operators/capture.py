@@ -142,3 +142,13 @@ def score_bar(score: Column) -> Column:
 def toolchain(base: Column, override: Column) -> Column:
     """Two maps as one, the second's values before the first's."""
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(override, k)), override)
+
+
+def files_by_hash(files: DataFrame, keys: list[str], salt: bytes) -> DataFrame:
+    """(keys, files): of rows (keys, path) each path once, as structs (path_hash, path, role) in order of the salted hash.
+
+    Null and empty paths are left out, and keys without others have no row.  A task names few files, which meet in one row.
+    """
+    named = files.where(F.coalesce("path", F.lit("")) != "").select(*keys, "path").distinct()
+    entry = F.struct(hashing.salted(F.col("path"), salt).alias("path_hash"), "path", classify.file_role(F.col("path")).alias("role"))
+    return named.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("files"))

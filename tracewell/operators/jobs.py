@@ -47,6 +47,19 @@ def permanent_failure(message: Column) -> Column:
     return any_of([low.contains(p) for p in PERMANENT_PARTS])
 
 
+def permanent_publish_failure(http_status: Column, conflict: Column) -> Column:
+    """Whether a failed publication is never tried again: a refusal by the store (400, 401), or another task under its id."""
+    return F.coalesce(http_status.isin(400, 401), F.lit(False)) | F.coalesce(conflict, F.lit(False))
+
+
+def is_pending(status: Column) -> Column:
+    return status.isin(PENDING)
+
+
+def is_terminal(status: Column) -> Column:
+    return status.isin(TERMINAL)
+
+
 def run_after(now: Column, attempts: Column) -> Column:
     """When a failed job is tried again, in microseconds: a step later with each attempt."""
     return now + attempts * BACKOFF_SECONDS * 1_000_000
