@@ -12,7 +12,7 @@ suffix array of the dictionary, to a depth of LENGTH bytes, and the counts of th
 the corpus order that is needed.
 
 * The parse is ranked by phrase names, dealt by name; a batch folds its own repeats first.  Names are
-  64-bit hashes; a phrase can only be taken for another of the same trigger.
+  64-bit hashes, whatever the trigger, and aren't compared byte by byte.
 * Phrases of one trigger meet in a task, which sorts their suffixes by prefix doubling, on bytes.
 * A trigger with very many phrases, as round a passage that many documents share, is not gathered:
   its windows of LENGTH bytes are dealt by their own hashes and ranked like phrases.
