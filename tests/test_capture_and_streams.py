@@ -54,7 +54,9 @@ def test_verdicts(spark):
     turns = F.array(F.struct(F.lit("user").alias("role"), F.lit("u" * 2000).alias("text")), F.struct(F.lit("assistant").alias("role"), F.lit("a").alias("text")))
     assert one(spark, v.prompt("Judge.", turns, F.array(F.lit("s1")))).startswith("Judge.\n\n--- transcript ---")
     asked = one(spark, v.prompt("Judge.", turns, F.array(F.lit("s1"), F.lit("s2")), "Skills used: {skills}."))
-    assert asked.startswith("Judge.\n\nSkills used: s1, s2.\n\n--- transcript ---") and asked.endswith("developer: " + "u" * 1500 + "\n\nassistant: a")
+    assert asked.startswith("Judge.\n\nSkills used: s1, s2.\n\n--- transcript ---") and asked.endswith("developer: " + "u" * 1500 + "…\n\nassistant: a")
+    long = one(spark, v.parse(F.lit('{"title":"' + "x" + "é" * 50 + '","summary":"' + "s" * 240 + '","outcome":"accepted"}')))
+    assert long.title == "x" + "é" * 44 + "\ufffd…" and long.summary == "s" * 240
 
 
 def test_tasks(spark, tmp_path):

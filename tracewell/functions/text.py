@@ -11,9 +11,8 @@ from .classify import looks_like_instructions
 WRAPPERS = "environment_context|user_instructions|environment_details|system-reminder|instructions"
 WRAPPER_BLOCK = rf"(?is)<({WRAPPERS})>.*?</({WRAPPERS})>"
 TURN_CHARS, OUTPUT_CHARS, MOST_TURNS, TITLE_CHARS, STATEMENT_CHARS = 16_000, 6_000, 600, 90, 1_600
-VERDICT_TITLE_CHARS, VERDICT_SUMMARY_CHARS = 90, 240
-#: The bytes of a turn that a judge is shown, and what stands for the rest.
-JUDGE_TURN_BYTES, CUT = 1_500, "…"
+#: The bytes of a turn that a judge is shown and of its verdict's texts, and what stands for the rest.
+JUDGE_TURN_BYTES, VERDICT_TITLE_BYTES, VERDICT_SUMMARY_BYTES, CUT = 1_500, 90, 240, "…"
 TRUNCATED = "\n… [truncated]"
 #: White space as Unicode has it, which trim() alone doesn't strip.
 SPACES = " \t\n\x0b\x0c\r\x85\xa0                　"
