@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: The redaction rules in SQL, in order; not taken from the code they check.
+#: The redaction rules in SQL, in order, written out apart from the code they check.
 REDACTION = [
     ("secret.private_key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
     ("secret.gcp", r'(?s)"private_key"\s*:\s*"-----BEGIN PRIVATE KEY-----.*?-----END PRIVATE KEY-----\\n?"'),
@@ -27,6 +27,7 @@ REDACTION = [
     ("pii.name", r"\b[A-Z][a-z]{2,}\s+[A-Z][a-z]{2,}\b"),
     ("secret.entropy", r"\b[A-Za-z0-9+/]{16,}={0,2}\b"),
 ]
+#: Fixed value: identifiers and images, which are no secrets.
 _UUID_OR_IMAGE = r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})$|^iVBORw0KGgo[A-Za-z0-9+/=]*$"
 
 
