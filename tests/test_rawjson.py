@@ -125,3 +125,20 @@ def test_file_names_need_no_python(spark):
     df = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(cases)], "k int, b string").select("k", rawjson.file_names(F.col("b")).alias("f"))
     assert {r.k: r.f for r in df.collect()} == {k: want for k, (_, want) in enumerate(cases)}
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_memory_of_a_scan_does_not_grow_with_its_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tracewell.functions import rawjson
+
+    line = '{"message":{"content":[{"type":"tool_use","input":{"a":"' + "b\\n" * 500 + '"}}]}}'
+    column = pa.array([line, None] * 4_000)
+    tracemalloc.start()
+    found = rawjson.raw_spans(column, {"inputs": "message.content[].input"})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 8_000 and found[7_998].as_py() == {"inputs": ['{"a":"' + "b\\n" * 500 + '"}']} and found[7_999].as_py() == found[1].as_py()
+    assert peak < 16 * column.nbytes

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -14,6 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+#: Bytes of texts that are scanned at a time; a scan takes some 40 bytes for each.
+SCAN_BYTES = 1 << 20
+
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -29,15 +33,15 @@ class Scan:
         quote = data == 34
         back = data == 92
         if back.any():
-            at = np.arange(n)
+            at = np.arange(n, dtype=np.int32)
             plain = np.maximum.accumulate(np.where(back, -1, at))
-            run = np.r_[0, at[:-1] - plain[:-1]]
+            run = np.r_[np.int32(0), at[:-1] - plain[:-1]]
             run[offsets[:-1][sizes > 0]] = 0
             quote &= run % 2 == 0
 
         def within(flags: np.ndarray) -> np.ndarray:
             """Running sums that begin anew with each text."""
-            sums = np.r_[0, np.cumsum(flags, dtype=np.int32)]
+            sums = np.r_[np.int32(0), np.cumsum(flags, dtype=np.int32)]
             return sums[1:] - np.repeat(sums[offsets[:-1]], sizes)
 
         outside = (within(quote) & 1 == 0) & ~quote
@@ -100,8 +104,23 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.zeros(0, np.uint8), ends - ends[0]
 
 
+def sliced(column: pa.Array, most: int = SCAN_BYTES) -> Iterator[pa.Array]:
+    """A column of texts in slices of about `most` bytes, or of one text."""
+    ends, begin = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while begin < len(column):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
 def raw_spans(column: pa.Array, paths: dict[str, str]) -> pa.StructArray:
-    """For each JSON text the values at paths, as spelled; see raw_values()."""
+    """For each JSON text the values at paths, as spelled; see raw_values().  Texts are scanned by slices, so memory is bounded whatever a batch holds."""
+    parts = [_raw_spans(part, paths) for part in sliced(column)]
+    return pa.concat_arrays(parts) if parts else _raw_spans(column, paths)
+
+
+def _raw_spans(column: pa.Array, paths: dict[str, str]) -> pa.StructArray:
     data, offsets = _buffers(column)
     n, scan = len(column), Scan(data, offsets)
     whole = scan.trimmed(np.arange(n), offsets[:-1], offsets[1:])
