@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.plans.file_queries import conv_of, scanned_files
+from tracewell.sources import lines as L
 
 
 def test_a_session_is_one_file_though_its_lines_come_from_a_union(spark):
@@ -18,3 +19,28 @@ def test_a_session_is_one_file_though_its_lines_come_from_a_union(spark):
         spark.conf.unset(name)
     assert len(found) == 200
     assert {(r.paths, r.n, r.first) for r in found} == {(1, 201, "head")}
+
+
+def test_many_sessions_are_few_files_and_keep_their_places(spark, tmp_path):
+    texts = {f"conv={k}": [f'{{"k":{k}}}', "  ", "é" * k, "x" * 40][: 1 + k % 4] for k in range(300)}
+    L.write_bundles(spark.createDataFrame([(f, at, v) for f, lines in texts.items() for at, v in enumerate(lines)], "file string, at int, value string"), str(tmp_path / "b"))
+    assert len(list((tmp_path / "b").glob("part-*"))) <= 4
+    most = 500
+    want = []
+    for f, lines in texts.items():
+        offset = number = 0
+        for v in lines:
+            n = len(v.encode())
+            kind = "oversized" if n + 1 > most else "blank" if not v.strip() else "line"
+            want.append((f, offset, number, None if kind == "oversized" else v, kind, n))
+            offset, number = offset + n + 1, number + (kind == "line")
+    assert {w[4] for w in want} == {"line", "blank", "oversized"}
+    found = L.scan_bundles(spark, str(tmp_path / "b"), most=most).select("path", "offset", "line_no", "line", "kind", "n_bytes").collect()
+    assert sorted(map(tuple, found), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_a_scan_is_dealt_to_many_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k}.jsonl").write_text("{}\n")
+    tasks = L.scan_lines(spark, str(tmp_path)).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks > 1

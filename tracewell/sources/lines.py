@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .ranges import BLANK, MOST_LINE_BYTES, RANGE_BYTES, count_ranges, files_below, ranges_of, read_ranges
+from .ranges import BLANK, HEAD, MOST_LINE_BYTES, RANGE_BYTES, count_ranges, dealt, files_below, ranges_of, read_ranges
 
 
 def line_kind(line: Column, n_bytes: Column) -> Column:
@@ -28,10 +28,10 @@ def scan_lines(
     Only where a file has several ranges are these read once more, to count the lines before each.
     """
     ranges = ranges_of(files_below(spark, root, pattern), cursors, wanted, range_bytes)
-    found = read_ranges(ranges.repartition(F.col("path"), F.col("begin")), most)
+    found = read_ranges(dealt(ranges), most)
     several = ranges.where(F.col("begin") > F.col("first")).select("path").distinct()
     before = Window.partitionBy("path").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    counted = count_ranges(ranges.join(several, "path", "left_semi").repartition(F.col("path"), F.col("begin")), most)
+    counted = count_ranges(dealt(ranges.join(several, "path", "left_semi")), most)
     earlier = counted.select("path", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     if several.isEmpty():
         numbered = found.withColumn("line_no", F.col("number"))
@@ -40,6 +40,26 @@ def scan_lines(
     return numbered.select("path", "offset", F.col("line_no").cast("int"), "line", "kind", "n_bytes")
 
 
+def write_bundles(rows: DataFrame, root: str) -> None:
+    """Write the lines (file, at, value) of many small files, by at, as a few text files, each small one whole after a line that names it.
+
+    A store, a listing and a driver have then to do with as many files as there are tasks, however many small ones there are.
+    """
+    # Dealt by a hash of the name: a union whose sides are already dealt by it would be left as it is, with its sides coalesced apart.
+    placed = rows.withColumn("dealt", F.xxhash64("file")).repartition("dealt")
+    first = F.row_number().over(Window.partitionBy("dealt", "file").orderBy("at")) == 1
+    value = F.coalesce("value", F.lit(""))
+    value = F.when(value.startswith(HEAD), F.raise_error(F.lit("a line begins as those that name files"))).otherwise(value)
+    placed.select(F.when(first, F.concat(F.lit(HEAD), F.coalesce("file", F.lit("")), F.lit("\n"), value)).otherwise(value).alias("value")).write.text(root)
+
+
+def scan_bundles(spark: SparkSession, root: str, pattern: str = "*.txt", most: int = MOST_LINE_BYTES) -> DataFrame:
+    """scan_lines() of the small files that write_bundles() put below root; path is a small file's name, and a bundle is read by one task, in batches."""
+    ranges = ranges_of(files_below(spark, root, pattern), size=1 << 62)
+    found = read_ranges(dealt(ranges), most, bundled=True)
+    return found.select("path", "offset", F.col("number").cast("int").alias("line_no"), "line", "kind", "n_bytes")
+
+
 def split_lines(files: DataFrame, cursor: Column | None = None) -> DataFrame:
     """scan_lines() of files that are rows already (path, content), valid UTF-8 each, from each file's cursor on.
 

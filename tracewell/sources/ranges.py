@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 MOST_LINE_BYTES = 16 << 20
 #: Bytes of a range; a file that is no longer is one range.
 RANGE_BYTES = 64 << 20
+#: What begins a line of a bundle that names the file whose lines follow; no JSON text holds it unescaped.
+HEAD = "\x1e"
 #: Bytes read at a time, and bytes and rows of a batch that a worker hands on.
 STEP, BATCH_BYTES, BATCH_ROWS = 64 << 10, 2 << 20, 2_000
 #: White space of a blank line, as Unicode has it.
@@ -113,29 +115,41 @@ def ranges_of(files: DataFrame, cursors: DataFrame | None = None, wanted: DataFr
 LINE = "path string, begin long, offset long, number long, line string, kind string, n_bytes long"
 
 
-def read_ranges(ranges: DataFrame, most: int = MOST_LINE_BYTES) -> DataFrame:
-    """The lines of ranges (path, begin, end), of LINE's columns; number counts a range's lines of kind 'line' from 0."""
+def dealt(ranges: DataFrame) -> DataFrame:
+    """ranges dealt to a fixed number of tasks: rows this small would else be coalesced into one, which then reads every file."""
+    return ranges.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("path"), F.col("begin"))
+
+
+def read_ranges(ranges: DataFrame, most: int = MOST_LINE_BYTES, bundled: bool = False) -> DataFrame:
+    """The lines of ranges (path, begin, end), of LINE's columns; number counts a range's lines of kind 'line' from 0.
+
+    Bundles hold several files, each after a line of HEAD and its name, and are read as one range each: path is then that name,
+    and offsets and numbers count from the file's own beginning.
+    """
+    head = HEAD.encode()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, begin, end in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows, held, number = [], 0, 0
+                rows, held, number, name, start = [], 0, 0, path, 0
                 with opened(path) as f:
                     for offset, n_bytes, kind, line in lines_in(f, begin, end, most):
+                        if bundled and line is not None and line.startswith(head):
+                            name, start, number = line[len(head) :].decode(), offset + n_bytes + 1, 0
+                            continue
                         if rows and (held + n_bytes > BATCH_BYTES or len(rows) >= BATCH_ROWS):
-                            yield packed(path, begin, rows)
+                            yield packed(begin, rows)
                             rows, held = [], 0
-                        rows.append((offset, number, None if line is None else line.decode("utf-8", "replace"), kind, n_bytes))
+                        rows.append((name, offset - start, number, None if line is None else line.decode("utf-8", "replace"), kind, n_bytes))
                         held += n_bytes if line is not None else 0
                         number += kind == "line"
                 if rows:
-                    yield packed(path, begin, rows)
+                    yield packed(begin, rows)
 
-    def packed(path: str, begin: int, rows: list) -> pa.RecordBatch:
-        offset, number, line, kind, n_bytes = zip(*rows, strict=True)
-        n = len(rows)
+    def packed(begin: int, rows: list) -> pa.RecordBatch:
+        path, offset, number, line, kind, n_bytes = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array([path] * n), pa.array([begin] * n, pa.int64()), pa.array(offset, pa.int64()), pa.array(number, pa.int64()), pa.array(line, pa.string()), pa.array(kind), pa.array(n_bytes, pa.int64())],
+            [pa.array(path), pa.array([begin] * len(rows), pa.int64()), pa.array(offset, pa.int64()), pa.array(number, pa.int64()), pa.array(line, pa.string()), pa.array(kind), pa.array(n_bytes, pa.int64())],
             ["path", "begin", "offset", "number", "line", "kind", "n_bytes"],
         )
 
