@@ -61,3 +61,16 @@ def test_needs_are_needed():
         assert scrub_text(text, with_needs) == scrub_text(text, without)
     for rule in RULES:
         assert re.compile(rule.pattern) and all(x == x.lower() for g in rule.needs for x in g if rule.folded)
+
+
+def test_batches_are_scrubbed_by_slices(spark):
+    import pyarrow as pa
+
+    from tracewell.functions.redact import slices
+
+    texts = ["x" * 300_000 + " 10.20.30.40", None, "", "y " * 1_000_000, "é Jane Doe"] * 3
+    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(range(15)), pa.array(texts)], ["id", "text"]), "text"))
+    assert len(parts) > 3 and all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 1 << 20 for p in parts)
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and [k for p in parts for k in p.column(0).to_pylist()] == list(range(15))
+    found = sorted(map(tuple, scrub(spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)).select("id", "text", "redactions.spans").collect()))
+    assert found == [(k, *((None, 0) if t is None else (lambda out, n: (out, sum(n.values())))(*scrub_text(t, COMPILED)))) for k, t in enumerate(texts)]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
+from .rawjson import sliced
 from .regex import re2_space
 
 SCRUBBER_VERSION = "redact/1"
@@ -130,7 +131,8 @@ def scrub(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = compiled(wanted)
-        for batch in batches:
+        # By slices: what a worker holds beside its batch doesn't grow with the batch.
+        for batch in (part for whole in batches for part in slices(whole, text)):
             done = [(None, {}) if t is None else scrub_text(t, ready) for t in batch.column(text).to_pylist()]
             report = pa.StructArray.from_arrays(
                 [
@@ -145,6 +147,14 @@ def scrub(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices with about 1 MB of text each."""
+    at = 0
+    for part in sliced(batch.column(text)):
+        yield batch.slice(at, len(part))
+        at += len(part)
+
+
 def merge_reports(reports: DataFrame, keys: list[str]) -> DataFrame:
     """One report for each key: by_category summed over reports, spans of all categories; null without any.
 
