@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, ngram_join, pieces, quality_classifier, suffix_dedup
 from tracewell.llm.queries import tokenizer_file
-from tracewell.llm.shared import fresh, materialize, sized, table, with_row_key
+from tracewell.llm.shared import discard, fresh, materialize, sized, table, with_row_key
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rows are told apart whatever their doc_id, so different texts of one doc_id stay.
     """
     rows, key = with_row_key(docs)
-    groups = materialize(ngram_join.similar_documents(rows.select(F.col(key).alias("doc_id"), "text")), "pipeline-groups")
+    similar = ngram_join.similar_documents(rows.select(F.col(key).alias("doc_id"), "text"))
+    groups = materialize(similar, "pipeline-groups")
+    discard(similar)  # its shingles are larger than the texts, and would lie there through the next stages
     surplus = groups.where("doc_id <> component_id").select("doc_id")
     if key != "doc_id":
         # Components are named by the least row, which needn't be that of the least doc_id.

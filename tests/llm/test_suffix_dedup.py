@@ -97,3 +97,28 @@ def test_a_passage_that_many_documents_share(spark, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     kept = suffix_dedup.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+def test_suffixes_are_sorted_a_few_triggers_at_a_time(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from tracewell.llm import suffix_dedup as s
+
+    r = np.random.default_rng(4)
+    trigger, size = r.integers(0, 9_000, 40_000), r.integers(200, 361, 40_000)
+    groups = list(s.whole_triggers(trigger, size))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(40_000)) and list(s.whole_triggers(trigger[:0], size[:0])) == []
+    assert sum(len(set(trigger[g].tolist())) for g in groups) == len(set(trigger.tolist()))  # no trigger is in two
+    assert max(size[g].sum() for g in groups) < s.COMPARED_BYTES + 20 * 361
+    blob = r.integers(97, 99, int(max(size[g].sum() for g in groups)), dtype=np.uint8)
+    tracemalloc.start()
+    s.suffix_ranks(blob, np.arange(0, len(blob) - 200, 3))
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    monkeypatch.setattr(s, "COMPARED_BYTES", 1)
+    text = "".join(random.Random(8).choices("abcdefgh ", k=700))
+    rows = [(i, f"{i:09d}" * 4 + text[7 * i :] + f"{i:09d}" * 30) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x) for x in s.digest(docs).collect()) == brute(rows)

@@ -13,7 +13,8 @@ the corpus order that is needed.
 
 * The parse is ranked by phrase names, dealt by name; a batch folds its own repeats first.  Names are
   64-bit hashes, whatever the trigger, and aren't compared byte by byte.
-* Phrases of one trigger meet in a task, which sorts their suffixes by prefix doubling, on bytes.
+* Phrases of one trigger meet in a task, which sorts their suffixes by prefix doubling, on bytes, a few
+  triggers at a time, as equal windows have one trigger.
 * A trigger with very many phrases, as round a passage that many documents share, is not gathered:
   its windows of LENGTH bytes are dealt by their own hashes and ranked like phrases.
 """
@@ -39,6 +40,8 @@ GRAM = 40
 TASK_PHRASES = 200_000
 #: Distinct phrases of a trigger beyond which they aren't gathered in one task.
 HOT_PHRASES = 4_096
+#: Bytes of whole triggers' phrases whose suffixes a task sorts at a time; sorting takes some 90 bytes for each.
+COMPARED_BYTES = 1 << 19
 #: A text is parsed in pieces of so many window starts, which bounds memory and positions in a key.
 PIECE = 1 << 22
 _POSITION = tb.U64((1 << 24) - 1)
@@ -142,6 +145,17 @@ def suffix_ranks(blob: np.ndarray, starts: np.ndarray) -> np.ndarray:
         size += step
 
 
+def whole_triggers(trigger: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The places of phrases by trigger, whole triggers at a time; a group but its last trigger has under COMPARED_BYTES."""
+    order = np.argsort(trigger, kind="stable")
+    before = np.cumsum(size[order]) - size[order]
+    new = np.flatnonzero(np.r_[True, trigger[order][1:] != trigger[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    part = before[new] // COMPARED_BYTES
+    cuts = new[np.flatnonzero(np.r_[True, part[1:] != part[:-1]])] if len(new) else new
+    for lo, hi in zip(cuts, np.r_[cuts[1:], len(order)], strict=False):
+        yield order[lo:hi]
+
+
 def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
     """((key, first, last), tables): ranges of window starts whose windows also start somewhere else, and what they are read from."""
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 2, -(-text_bytes // (80 * TASK_PHRASES)))
@@ -244,7 +258,7 @@ def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame,
             row, a, b, trigger, kind = spans_of(batch.column(2))
             task = (trigger.view(np.uint64) % np.uint64(tasks)).astype(np.int32)
             order = np.argsort(task, kind="stable")
-            task, a, b, kind, row = task[order], a[order], b[order], kind[order], row[order]
+            task, a, b, trigger, kind, row = task[order], a[order], b[order], trigger[order], kind[order], row[order]
             cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1]]) if len(task) else np.zeros(0, np.int64)
             ends = np.r_[cuts[1:], len(task)]
             text = data.tobytes() if len(data) < (1 << 20) else memoryview(data)
@@ -253,23 +267,27 @@ def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame,
                 blobs.append(b"".join(bytes(text[offsets[row[i]] + a[i] : offsets[row[i]] + b[i] + LENGTH]) for i in range(x, y)))
             column = lambda v, kind_: pa.array([np.ascontiguousarray(v[x:y].astype(kind_)).tobytes() for x, y in zip(cuts, ends, strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(task[cuts]), column(keys[row], np.int64), column(a, np.int32), column(b - a, np.int32), column(kind, np.int8), pa.array(blobs, pa.binary())],
-                ["task", "key", "first", "reach", "kind", "bytes"],
+                [pa.array(task[cuts]), column(keys[row], np.int64), column(a, np.int32), column(b - a, np.int32), column(kind, np.int8), column(trigger, np.int64), pa.array(blobs, pa.binary())],
+                ["task", "key", "first", "reach", "kind", "trigger", "bytes"],
             )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in by_task(batches):
-            k, a, reach, kind = (np.concatenate([np.frombuffer(p[c], t) for p in pieces]) for c, t in ((0, np.int64), (1, np.int32), (2, np.int32), (3, np.int8)))
-            blob = np.frombuffer(b"".join(p[4] for p in pieces), np.uint8)
-            length = reach.astype(np.int64) + LENGTH
-            begin = np.cumsum(length) - length
-            which = np.repeat(np.arange(len(k)), reach + 1)
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
-            same = (suffix_ranks(blob, begin[which] + inside) > 0) & (kind[which] == 1)
-            which, start = which[same], (a[which] + inside)[same]
-            yield from rows(*joined_ranges(k[which], start, start), None, 0)
-
-    pieces = with_texts(alike).mapInArrow(cut_out, "task int, key binary, first binary, reach binary, kind binary, bytes binary")
+            k, a, reach, kind, trigger = (np.concatenate([np.frombuffer(p[c], t) for p in pieces]) for c, t in enumerate((np.int64, np.int32, np.int32, np.int8, np.int64)))
+            text = memoryview(b"".join(p[5] for p in pieces))
+            pieces.clear()
+            end = np.cumsum(reach.astype(np.int64) + LENGTH)
+            for mine in whole_triggers(trigger, reach.astype(np.int64) + LENGTH):
+                blob = np.frombuffer(b"".join(text[end[i] - reach[i] - LENGTH : end[i]] for i in mine), np.uint8)
+                n = reach[mine].astype(np.int64) + 1
+                which = np.repeat(mine, n)
+                inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+                same = (suffix_ranks(blob, np.repeat(begin, n) + inside) > 0) & (kind[which] == 1)
+                which, start = which[same], (a[which] + inside)[same]
+                yield from rows(*joined_ranges(k[which], start, start), None, 0)
+
+    pieces = with_texts(alike).mapInArrow(cut_out, "task int, key binary, first binary, reach binary, kind binary, trigger binary, bytes binary")
     marks = ranked.where("kind = 0").select("key", "first", "last")
     marks = marks.union(gathered(pieces).mapInArrow(compare, ranges).select("key", "first", "last"))
     if not some_hot:
