@@ -71,6 +71,11 @@ def looks_like_instructions(text: Column) -> Column:
     return any_of([low.startswith(p) for p in INSTRUCTION_STARTS] + [low.contains(p) for p in INSTRUCTION_PARTS])
 
 
+def plain_path(path: Column) -> Column:
+    """Without backslashes and empty, '.' and '..' parts, so that neither folding nor counting parts is needed; most paths are plain."""
+    return ~path.rlike(r"\\|(^|/)\.{0,2}(/|$)")
+
+
 def unsafe_path(path: Column) -> Column:
     """Empty, absolute, climbing out of its root, or with a zero byte."""
     p = F.regexp_replace(path, r"\\", "/")
@@ -82,7 +87,8 @@ def unsafe_path(path: Column) -> Column:
             F.least(acc["least"], acc["d"] + F.when(part == "..", -1).otherwise(0)).alias("least"),
         ),
     )
-    return (path == "") | path.startswith("/") | path.contains("\0") | (depth["least"] < 0) | (depth["d"] <= 0)
+    zero = path.contains("\0")
+    return F.when(plain_path(path), zero).otherwise((path == "") | path.startswith("/") | zero | (depth["least"] < 0) | (depth["d"] <= 0))
 
 
 def clean_path(path: Column) -> Column:
@@ -92,15 +98,19 @@ def clean_path(path: Column) -> Column:
         parts, F.array().cast("array<string>"),
         lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.array_join(folded, "/")
+    return F.when(plain_path(path), path).otherwise(F.array_join(folded, "/"))
 
 
 def file_role(path: Column) -> Column:
-    low = F.lower(clean_path(path))
-    base = F.element_at(F.split(low, "/"), -1)
-    config = base.isin(CONFIG_FILES) | base.rlike(r"\.(toml|yaml|yml)$") | low.startswith(".github/") | low.startswith(".circleci/")
-    test = low.rlike(r"(^|/)(test|tests|spec)/") | base.rlike(r"_test\.|\.test\.|_spec\.|\.spec\.") | base.startswith("test_")
-    return F.when(unsafe_path(path), "unknown").when(base.isin(LOCKFILES), "lockfile").when(config, "config").when(test, "test").otherwise("solution")
+    def role(low: Column) -> Column:
+        base = F.substring_index(low, "/", -1)
+        config = base.isin(CONFIG_FILES) | base.rlike(r"\.(toml|yaml|yml)$") | low.startswith(".github/") | low.startswith(".circleci/")
+        test = low.rlike(r"(^|/)(test|tests|spec)/") | base.rlike(r"_test\.|\.test\.|_spec\.|\.spec\.") | base.startswith("test_")
+        return F.when(base.isin(LOCKFILES), "lockfile").when(config, "config").when(test, "test").otherwise("solution")
+
+    # One element of an array, as a cleaned path that is named so often would be worked out each time.
+    cleaned = F.transform(F.array(F.lower(clean_path(path))), role)
+    return F.when(unsafe_path(path), "unknown").otherwise(F.element_at(cleaned, 1))
 
 
 def remote_host(remote: Column) -> Column:
