@@ -122,3 +122,14 @@ def test_suffixes_are_sorted_a_few_triggers_at_a_time(spark, monkeypatch):
     rows = [(i, f"{i:09d}" * 4 + text[7 * i :] + f"{i:09d}" * 30) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(x) for x in s.digest(docs).collect()) == brute(rows)
+
+
+def test_workers_give_memory_back_after_a_task(monkeypatch):
+    from types import SimpleNamespace
+
+    from tracewell.llm import textbytes as tb
+
+    said = []
+    monkeypatch.setattr(tb.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: said.append("released")))
+    double = tb.released(lambda batches: (said.append(b) or 2 * b for b in batches))
+    assert list(double(iter([1, 2]))) == [2, 4] and said == [1, 2, "released"]

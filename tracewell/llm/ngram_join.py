@@ -55,6 +55,7 @@ def unpack(data: bytes) -> np.ndarray:
 def shingle_table(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n, key_a, key_b, shingles): set size, 128 bits that name the set, the packed set."""
 
+    @tb.released
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
@@ -79,6 +80,7 @@ def frequent_shingles(sets: DataFrame) -> np.ndarray:
     This only steers the global order, which may be any order without changing a result.
     """
 
+    @tb.released
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
 
@@ -119,6 +121,7 @@ def prefix_fragments(sets: DataFrame, fragments: int) -> DataFrame:
     by_value = np.argsort(frequent, kind="stable")
     known = spark.sparkContext.broadcast((frequent[by_value], by_value))
 
+    @tb.released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
         for batch in batches:
@@ -160,6 +163,7 @@ def prefix_fragments(sets: DataFrame, fragments: int) -> DataFrame:
 def posting_lists(sets: DataFrame, fragments: int) -> DataFrame:
     """(token, doc, n, least): prefix shingles of two documents or more, with the list's least document."""
 
+    @tb.released
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
@@ -194,6 +198,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         wanted = F.broadcast(wanted)
     cut = (1 << 64) // OVERLAP_FRAGMENTS
 
+    @tb.released
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.arange(1, OVERLAP_FRAGMENTS, dtype=np.uint64) * np.uint64(cut)
         for batch in batches:
@@ -207,6 +212,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for k in range(OVERLAP_FRAGMENTS):
                 yield pa.RecordBatch.from_arrays([a, part, pa.array([k] * len(doc), pa.int32()), doc, pa.array(parts[k], pa.binary())], ["a", "part", "fragment", "doc", "segment"])
 
+    @tb.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = None, np.zeros(0, np.uint64)
         for batch in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import textbytes as tb
 from .shared import small_batches
 
 MARK = "▁"
@@ -220,6 +221,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
     docs = small_batches(docs).drop("ids")
     names, schema = docs.columns, StructType([*docs.schema.fields]).add("ids", "binary")
 
+    @tb.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_file)
         for batch in batches:
@@ -247,6 +249,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     encoded = encoded.drop("decoded")
     names, schema = encoded.columns, StructType([*encoded.schema.fields]).add("decoded", "string")
 
+    @tb.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(model_file)
         for batch in batches:
@@ -265,6 +268,7 @@ def digest(docs: DataFrame, model_file: str) -> DataFrame:
     does apart from that.
     """
 
+    @tb.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _encoder(model_file), _decoder(model_file)
         for batch in batches:

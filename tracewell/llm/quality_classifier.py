@@ -93,6 +93,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def statistics_table(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of each row's whole text."""
 
+    @tb.released
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
@@ -181,6 +182,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     model = Model(mean, scale, frequencies, rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(0), np.zeros(0), np.zeros(0))
     m = 1 + d + FEATURES
 
+    @tb.released
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def products(batch: pa.RecordBatch) -> np.ndarray:
             # Whole numbers whose products and sums over a batch are exact in doubles.
@@ -192,6 +194,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
         if a.any():
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["sums"])
 
+    @tb.released
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = added((np.frombuffer(x.as_buffer(), np.int64).reshape(m, m + 1) for b in batches for x in b.column(0)), m)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["sums"])
@@ -211,6 +214,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     penalty[0] = 1e-9
     model.weights = np.linalg.solve(square + np.diag(penalty), normal[:, m])
 
+    @tb.released
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = ((np.clip(model.raw(matrix(batch, 0)), -1, 2) + 1) / 3 * BINS).astype(np.int32)
@@ -235,6 +239,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Data
     """
     model = fit(materialize(statistics_table(docs), "quality-stats"), known_labels(labels, label))
 
+    @tb.released
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column("text"))
@@ -256,6 +261,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     stats = materialize(statistics_table(docs), "quality-stats")
     model = fit(stats, known_labels(labels, label))
 
+    @tb.released
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.score(matrix(batch, 1))

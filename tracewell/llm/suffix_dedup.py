@@ -191,11 +191,13 @@ def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame,
                 out[k + 1].append(marked[k].astype(_COLUMNS[k]).tobytes() if k < 3 else b"")
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["task", "key", "first", "last", "trigger", "name", "twice"])
 
+    @tb.released
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, first, last, trigger, name = parse_batch(*tb.buffers(batch.column(1)))
             yield dealt(batch.column(0).to_numpy()[row], first, last, trigger, name, np.zeros(len(name), bool))
 
+    @tb.released
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in by_task(batches):
             held = []
@@ -251,6 +253,7 @@ def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame,
         wanted = phrases_.groupBy(F.col("key").alias("span_key")).agg(F.collect_list(F.struct("first", "last", "trigger", "kind")).alias("spans"))
         return docs.select(F.col(key).alias("key"), "text").join(wanted, F.col("key") == F.col("span_key")).select("key", "text", "spans")
 
+    @tb.released
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
@@ -271,6 +274,7 @@ def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame,
                 ["task", "key", "first", "reach", "kind", "trigger", "bytes"],
             )
 
+    @tb.released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in by_task(batches):
             k, a, reach, kind, trigger = (np.concatenate([np.frombuffer(p[c], t) for p in pieces]) for c, t in enumerate((np.int64, np.int32, np.int32, np.int8, np.int64)))
@@ -293,6 +297,7 @@ def window_marks(docs: DataFrame, key: str, text_bytes: int) -> tuple[DataFrame,
     if not some_hot:
         return marks, [ranked, several]
 
+    @tb.released
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
@@ -377,6 +382,7 @@ def digest(docs: DataFrame) -> DataFrame:
     copies of each other.  Extra columns are ignored; no rows give no rows.
     """
 
+    @tb.released
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
@@ -406,6 +412,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     marked, marks = marked_documents(docs)
 
+    @tb.released
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column("text"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[:n], _inverses[:n]
 
 
+def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches, after which the worker gives memory back that it doesn't use.
+
+    Workers outlive their tasks and idle beside others, and would keep what their largest task freed.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finalizer that spreads every bit of h over all bits."""
     h = h ^ (h >> U64(31))
